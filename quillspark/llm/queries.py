@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspark.llm import near_dup
+from quillspark.llm import brown_lm, near_dup, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,9 +16,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(n: int):
+    """crc32 of doc_id as text, modulo ``n``; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
+def op8_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score(spark, table(spark, sf_dir, "documents"), _remainder(7) == 2)
+
+
 def op9_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op9_minhash_near_dup": op9_minhash_near_dup}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_passages(spark, table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+QUERIES: dict[str, Query] = {"op8_brown_lm": op8_brown_lm, "op9_minhash_near_dup": op9_minhash_near_dup, "op10_suffix_dedup": op10_suffix_dedup}
 ORACLES: dict[str, str] = {}
