@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import brown_lm, near_dup, suffix_dedup
+from quillspark.llm import brown_lm, mil_quality, near_dup, packing, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,21 @@ def _remainder(n: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the public tokenizer files lie on this machine and on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mil_quality.score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), _remainder(5) == 0)
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, table(spark, sf_dir, "documents"), packing.Packing(tokenizer_path("word_bpe_49k.json")))
+
+
 def op8_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown_lm.score(spark, table(spark, sf_dir, "documents"), _remainder(7) == 2)
 
@@ -33,5 +48,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_passages(spark, table(spark, sf_dir, "documents")).drop("kept_text")
 
 
-QUERIES: dict[str, Query] = {"op8_brown_lm": op8_brown_lm, "op9_minhash_near_dup": op9_minhash_near_dup, "op10_suffix_dedup": op10_suffix_dedup}
+QUERIES: dict[str, Query] = {"op3_mil_quality": op3_mil_quality, "op4_best_fit_packing": op4_best_fit_packing, "op8_brown_lm": op8_brown_lm, "op9_minhash_near_dup": op9_minhash_near_dup, "op10_suffix_dedup": op10_suffix_dedup}
 ORACLES: dict[str, str] = {}
