@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import brown_lm, mil_quality, near_dup, packing, suffix_dedup
+from quillspark.llm import brown_lm, leaks, mil_quality, near_dup, packing, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"), packing.Packing(tokenizer_path("word_bpe_49k.json")))
 
 
+def op5_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown_lm.score(spark, table(spark, sf_dir, "documents"), _remainder(7) == 2)
 
@@ -48,5 +52,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_passages(spark, table(spark, sf_dir, "documents")).drop("kept_text")
 
 
-QUERIES: dict[str, Query] = {"op3_mil_quality": op3_mil_quality, "op4_best_fit_packing": op4_best_fit_packing, "op8_brown_lm": op8_brown_lm, "op9_minhash_near_dup": op9_minhash_near_dup, "op10_suffix_dedup": op10_suffix_dedup}
+QUERIES: dict[str, Query] = {"op3_mil_quality": op3_mil_quality, "op4_best_fit_packing": op4_best_fit_packing, "op5_qgram_decontamination": op5_qgram_decontamination, "op8_brown_lm": op8_brown_lm, "op9_minhash_near_dup": op9_minhash_near_dup, "op10_suffix_dedup": op10_suffix_dedup}
 ORACLES: dict[str, str] = {}
