@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import brown_lm, leaks, mil_quality, near_dup, packing, suffix_dedup
+from quillspark.llm import brown_lm, leaks, mil_quality, near_dup, packing, suffix_dedup, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.write(spark, table(spark, sf_dir, "pages")).read(payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil_quality.score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), _remainder(5) == 0)
 
@@ -40,6 +45,10 @@ def op5_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_segment_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown_lm.score(spark, table(spark, sf_dir, "documents"), _remainder(7) == 2)
 
@@ -52,5 +61,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_passages(spark, table(spark, sf_dir, "documents")).drop("kept_text")
 
 
-QUERIES: dict[str, Query] = {"op3_mil_quality": op3_mil_quality, "op4_best_fit_packing": op4_best_fit_packing, "op5_qgram_decontamination": op5_qgram_decontamination, "op8_brown_lm": op8_brown_lm, "op9_minhash_near_dup": op9_minhash_near_dup, "op10_suffix_dedup": op10_suffix_dedup}
+QUERIES: dict[str, Query] = {"op1_warc": op1_warc, "op3_mil_quality": op3_mil_quality, "op4_best_fit_packing": op4_best_fit_packing, "op5_qgram_decontamination": op5_qgram_decontamination, "op6_segment_top_k": op6_segment_top_k, "op8_brown_lm": op8_brown_lm, "op9_minhash_near_dup": op9_minhash_near_dup, "op10_suffix_dedup": op10_suffix_dedup}
 ORACLES: dict[str, str] = {}
