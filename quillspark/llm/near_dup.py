@@ -7,11 +7,12 @@ bucket.  Buckets give candidates in two ways, neither of which emits all pairs o
 
 * leader rounds: each class is compared with one leader of its buckets, so a group of thousands of
   near copies becomes one component at linear cost;
-* block pairs: buckets that still hold several components are cut into blocks of bounded size, and
-  for each pair of blocks one task compares one-bit signatures of classes of different components
-  and emits those that could reach the threshold.
+* block pairs: buckets that still hold several components are cut into blocks of bounded size.  For
+  each pair of blocks one task compares one-bit signatures of classes of different components and
+  passes on the classes that have a possible partner; these come back with their full sets, and the
+  task confirms pairs, likeliest first, and keeps the links that join components.
 
-Every candidate is confirmed on the full sets before it becomes a link.
+Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -119,79 +120,123 @@ def _sets(p: NearDup):
     return run
 
 
+def _similar(u: np.ndarray, v: np.ndarray, p: NearDup) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if 100 * min(len(u), len(v)) < p.threshold * max(len(u), len(v)):
+        return False
+    at = np.searchsorted(u, v)
+    at[at == len(u)] = 0
+    both = int((u[at] == v).sum())
+    return 100 * both >= p.threshold * (len(u) + len(v) - both)
+
+
 def _confirm(p: NearDup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                u, v = (np.frombuffer(z.as_buffer(), dtype=np.uint64) for z in (x, y))
-                short, long = sorted((len(u), len(v)))
-                both = 0
-                if 100 * short >= p.threshold * long:
-                    at = np.searchsorted(u, v)
-                    at[at == len(u)] = 0
-                    both = int((u[at] == v).sum())
-                ok.append(100 * both >= p.threshold * (len(u) + len(v) - both))
+                ok.append(_similar(*(np.frombuffer(z.as_buffer(), dtype=np.uint64) for z in (x, y)), p))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
+def _sets_of(ids: DataFrame, docs: DataFrame, p: NearDup, scratch: Scratch) -> DataFrame:
+    """(rep, shingles) of the documents in ``ids`` (doc_id), as a cut table."""
+    ids = scratch.cut(ids.distinct(), "ids")
+    mine = docs.join(small(ids), "doc_id", "left_semi").select("doc_id", "text")
+    return scratch.cut(mine.mapInArrow(_sets(p), "rep long, shingles binary").dropDuplicates(["rep"]), "sets")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, p: NearDup, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold, as a cut table."""
     pairs = scratch.cut(pairs, "pairs")
-    ids = scratch.cut(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-    mine = docs.join(small(ids), "doc_id", "left_semi").select("doc_id", "text")
-    sets = scratch.cut(mine.mapInArrow(_sets(p), "rep long, shingles binary").dropDuplicates(["rep"]), "sets")
+    sets = _sets_of(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))), docs, p, scratch)
     left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
     links = scratch.cut(joined.mapInArrow(_confirm(p), "a long, b long"), "links")
-    scratch.drop(pairs, ids, sets)
+    scratch.drop(pairs, sets)
     return links
 
 
-def _compare(p: NearDup):
-    n_bits = p.bands * p.rows
-    t = p.threshold / 100
-    floor = (1 + t) / 2
-    least = n_bits * (floor - p.slack * np.sqrt(floor * (1 - floor) / n_bits))
-
-    def group(rows: pa.Table) -> list[tuple[int, int]]:
-        rep, comp, n, side = (rows.column(k).to_numpy(zero_copy_only=False) for k in ("rep", "comp", "n_shingles", "side"))
-        bits = np.unpackbits(np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint8).reshape(len(rep), -1), axis=1)[:, :n_bits].astype(np.float32) * 2 - 1
-        one, two = (np.flatnonzero(side != 2), np.flatnonzero(side != 1))
-        out = []
-        for at in range(0, len(one), 512):
-            i = one[at : at + 512]
-            same = (bits[i] @ bits[two].T + n_bits) / 2
-            ok = (same >= least) & (comp[i][:, None] != comp[two][None, :]) & (rep[i][:, None] != rep[two][None, :])
-            ok &= 100 * np.minimum(n[i][:, None], n[two][None, :]) >= p.threshold * np.maximum(n[i][:, None], n[two][None, :])
-            x, y = np.nonzero(ok)
-            a, b = rep[i][x], rep[two][y]
-            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []
+def _partners(rows: pa.Table, p: NearDup) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places (x, y) of members of one pair of blocks whose estimate could reach the threshold.
 
-        def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            key = np.stack([table.column(k).to_numpy() for k in ("bucket", "i", "j")])
-            edge = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [table.num_rows]))
-            found = [x for lo, hi in zip(edge[:-1], edge[1:], strict=True) if hi - lo > 1 for x in group(table.slice(lo, hi - lo))]
-            if found and len(pairs := np.unique(np.concatenate(found), axis=0)):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    Members of one component are no partners, and neither are two that also share an earlier band:
+    the bucket of the first band they share compares them.  Comes with the equal bits of each pair.
+    """
+    n_bits, t = p.bands * p.rows, p.threshold / 100
+    mean = (1 + t) / 2
+    least = n_bits * (mean - p.slack * np.sqrt(mean * (1 - mean) / n_bits))
+    rep, comp, n, side = (rows.column(k).to_numpy(zero_copy_only=False) for k in ("rep", "comp", "n_shingles", "side"))
+    bits = np.unpackbits(np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint8).reshape(len(rep), -1), axis=1)[:, :n_bits].astype(np.float32) * 2 - 1
+    keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), np.int64).reshape(len(rep), -1)
+    band = int(np.flatnonzero(keys[0] == rows.column("bucket")[0].as_py())[0])
+    one, two = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+    for at in range(0, len(one), 256):
+        i = one[at : at + 256]
+        same = (bits[i] @ bits[two].T + n_bits) / 2
+        ok = (same >= least) & (comp[i][:, None] != comp[two][None, :]) & ((side[i][:, None] != 0) | (rep[i][:, None] < rep[two][None, :]))
+        ok &= 100 * np.minimum(n[i][:, None], n[two][None, :]) >= p.threshold * np.maximum(n[i][:, None], n[two][None, :])
+        x, y = np.nonzero(ok)
+        fresh = np.concatenate([~(keys[i[x[k : k + 65536]], :band] == keys[two[y[k : k + 65536]], :band]).any(axis=1) for k in range(0, len(x), 65536)] or [np.zeros(0, bool)])
+        x, y = x[fresh], y[fresh]
+        yield i[x], two[y], same[x, y]
+
+
+def _hopeful(rows: pa.Table, p: NearDup) -> pa.RecordBatch | None:
+    """The members of one pair of blocks that have a partner."""
+    found = [np.unique(np.concatenate((x, y))) for x, y, _ in _partners(rows, p) if len(x)]
+    if found:
+        return rows.select(["bucket", "i", "j", "side", "rep"]).take(pa.array(np.unique(np.concatenate(found)))).combine_chunks().to_batches()[0]
+    return None
+
+
+def _linked(rows: pa.Table, p: NearDup) -> pa.RecordBatch | None:
+    """Confirmed links that join components within one pair of blocks: a forest, likeliest first."""
+    comp = rows.column("comp").to_pylist()
+    rep = rows.column("rep").to_pylist()
+    sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in rows.column("shingles")]
+    found = list(_partners(rows, p))
+    x, y, same = (np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(3))
+    order = np.argsort(-same, kind="stable")
+    root = {c: c for c in comp}
+
+    def top(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out = []
+    for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
+        a, b = top(comp[i]), top(comp[j])
+        if a != b and _similar(sets[i], sets[j], p):
+            root[max(a, b)] = min(a, b)
+            out.append((rep[i], rep[j]))
+    return pa.RecordBatch.from_arrays([pa.array([v[k] for v in out], pa.int64()) for k in (0, 1)], names=["a", "b"]) if out else None
+
+
+def _grouped(work, p: NearDup):
+    """``work`` on the rows of each (bucket, i, j), which come sorted; groups are of bounded size."""
+
+    def edges(table: pa.Table) -> np.ndarray:
+        key = np.stack([table.column(k).to_numpy() for k in ("bucket", "i", "j")])
+        return np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [table.num_rows]))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
         for batch in batches:
-            table = pa.Table.from_batches([*rest, batch]).combine_chunks()
-            key = np.stack([table.column(k).to_numpy() for k in ("bucket", "i", "j")])
-            last = np.flatnonzero((key != key[:, -1:]).any(axis=0))
-            stop = int(last[-1]) + 1 if len(last) else 0
-            rest = table.slice(stop).to_batches()
-            if stop:
-                yield from flush(table.slice(0, stop))
-        if rest:
-            yield from flush(pa.Table.from_batches(rest).combine_chunks())
+            table = pa.Table.from_batches([batch])
+            table = (pa.concat_tables([rest, table]) if rest is not None else table).combine_chunks()
+            edge = edges(table)
+            for lo, hi in zip(edge[:-2], edge[1:-1], strict=True):
+                if hi - lo > 1 and (out := work(table.slice(lo, hi - lo), p)) is not None:
+                    yield out
+            rest = table.slice(edge[-2])
+        if rest is not None and rest.num_rows > 1 and (out := work(rest.combine_chunks(), p)) is not None:
+            yield out
 
     return run
 
@@ -232,12 +277,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: NearDup = NearDup()
     labelled = scratch.cut(buckets.join(roots, F.col("rep") == F.col("node"), "left").select("bucket", "members", "rep", F.coalesce("root", "rep").alias("comp")), "labelled")
     mixed = scratch.cut(labelled.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket"), "mixed")
     blocks = F.ceil(F.col("members") / p.block).cast("int")
-    left = labelled.join(mixed, "bucket").join(reps.select("rep", "n_shingles", "bits"), "rep").withColumn("blocks", blocks)
-    left = left.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    members = labelled.join(mixed, "bucket").withColumn("blocks", blocks)
+    members = members.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     # side: 0 both (a block with itself), 1 the lower block, 2 the higher
-    left = left.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"), "rep", "comp", "n_shingles", "bits")
-    pairs = left.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_compare(p), "a long, b long").distinct()
-    links = scratch.cut(links.unionByName(_confirmed(pairs, docs, p, scratch)).distinct(), "links")
+    members = members.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"), "rep", "comp")
+    key = ["bucket", "i", "j"]
+    signs = reps.select("rep", "n_shingles", "bits", "keys")
+    dealt = members.join(signs, "rep").repartition(*key).sortWithinPartitions(*key)
+    hopeful = scratch.cut(dealt.mapInArrow(_grouped(_hopeful, p), "bucket long, i int, j int, side int, rep long"), "hopeful")
+    sets = _sets_of(hopeful.select(F.col("rep").alias("doc_id")), docs, p, scratch)
+    compared = hopeful.join(signs, "rep").join(sets, "rep").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
+    found = compared.repartition(*key).sortWithinPartitions(*key).mapInArrow(_grouped(_linked, p), "a long, b long").distinct()
+    links = scratch.cut(links.unionByName(found).distinct(), "links")
     roots = scratch.cut(components(links, scratch), "roots")
     scratch.drop(labelled, mixed, buckets, shared)
     named_class = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b", "n_shingles"], "left")
