@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import brown_lm, leaks, mil_quality, near_dup, packing, suffix_dedup, topk, toxicity, unigram, warc
+from quillspark.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,4 +76,3 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (op1_warc, op2_classifier_chain, op3_mil_quality, op4_best_fit_packing, op5_qgram_decontamination, op6_segment_top_k, op7_viterbi_counts, op8_brown_lm, op9_minhash_near_dup, op10_suffix_dedup)
 }
-ORACLES: dict[str, str] = {}
