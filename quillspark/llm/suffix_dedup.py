@@ -130,40 +130,64 @@ def _trees(p: SuffixDedup):
     return run
 
 
-def repeats(suffixes: DataFrame, scratch: Scratch, p: SuffixDedup) -> DataFrame:
-    """(doc_id, start) of the suffixes that share a node of full depth with a smaller document."""
+def _dealt(suffixes: DataFrame, scratch: Scratch, p: SuffixDedup) -> DataFrame:
+    """Suffixes with the part and salt of the subtree they belong to.
+
+    Each depth counts the prefixes that were too many at the depth before; all other rows fall into one
+    null group that partial aggregation folds up.  The few heavy prefixes are joined back to all rows,
+    one to one, so a row is neither lost nor made.
+    """
     keys = [f"s{i}" for i in range(p.symbols)]
-    rest, parts = suffixes, []
+    rows, part, salt = suffixes, None, F.lit(0)
+    deepest = None
     for depth in range(1, p.symbols + 1):
         prefix = keys[:depth]
-        counted = rest.groupBy(*prefix).agg(F.count("*").alias("many"), F.min("doc_id").alias("least"))
-        heavy = scratch.cut(counted.where(F.col("many") > p.part), f"heavy{depth}")
-        some = heavy.count()
-        known = small(heavy.select(*prefix)) if some else None
-        light = rest.join(known, prefix, "left_anti") if some else rest
-        parts.append(light.select("doc_id", "start", *keys, F.xxhash64(*prefix).alias("part"), F.lit(0).alias("salt")))
-        if not some:
+        again = F.lit(True) if depth == 1 else F.col(f"many{depth - 1}").isNotNull()
+        counted = rows.groupBy(*[F.when(again, F.col(k)).alias(k) for k in prefix]).agg(F.count("*").alias(f"many{depth}"), F.min("doc_id").alias("least"))
+        heavy = scratch.cut(counted.where((F.col(f"many{depth}") > p.part) & F.col("s0").isNotNull()), f"heavy{depth}")
+        own = F.xxhash64(*prefix)
+        part = own if part is None else F.when(again, own).otherwise(part)
+        if not heavy.count():
             break
-        if depth < p.symbols:
-            rest = rest.join(known, prefix, "left_semi")
-            continue
-        salts = F.ceil(F.col("many") / p.part).cast("int")
-        salted = rest.join(small(heavy.select(*keys, salts.alias("salts"))), keys)
-        parts.append(salted.select("doc_id", "start", *keys, F.xxhash64(*keys).alias("part"), F.pmod(F.xxhash64("doc_id", "start"), F.col("salts")).cast("int").alias("salt")))
-        heads = heavy.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-        parts.append(heads.select(F.col("least").alias("doc_id"), F.lit(-1).alias("start"), *keys, F.xxhash64(*keys).alias("part"), "salt"))
-    dealt = parts[0]
-    for part in parts[1:]:
-        dealt = dealt.unionByName(part)
-    dealt = dealt.repartition("part", "salt").sortWithinPartitions("part", "salt", *keys, "doc_id")
+        rows = rows.join(small(heavy.drop("least")), prefix, "left")
+        deepest = heavy if depth == p.symbols else None
+    if deepest is not None:
+        salts = F.ceil(F.col(f"many{p.symbols}") / p.part).cast("int")
+        salt = F.coalesce(F.pmod(F.xxhash64("doc_id", "start"), salts).cast("int"), F.lit(0))
+        # every salted part gets the suffix of the smallest document, as a leaf without a place
+        heads = deepest.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+        heads = heads.select(F.col("least").alias("doc_id"), F.lit(-1).alias("start"), *keys, F.xxhash64(*keys).alias("part"), "salt")
+        return rows.select("doc_id", "start", *keys, part.alias("part"), salt.alias("salt")).unionByName(heads)
+    return rows.select("doc_id", "start", *keys, part.alias("part"), salt.alias("salt"))
+
+
+def repeats(suffixes: DataFrame, scratch: Scratch, p: SuffixDedup) -> DataFrame:
+    """(doc_id, start) of the suffixes that share a node of full depth with a smaller document."""
+    keys = [f"s{i}" for i in range(p.symbols)]
+    dealt = _dealt(suffixes, scratch, p).repartition("part", "salt").sortWithinPartitions("part", "salt", *keys, "doc_id")
     return dealt.mapInArrow(_trees(p), "doc_id long, start int")
 
 
-def covered(n_words: int, starts: np.ndarray, window: int) -> np.ndarray:
-    """Which of ``n_words`` words a window from one of ``starts`` covers."""
+def runs(starts: np.ndarray) -> np.ndarray:
+    """Sorted distinct starts as first, end, first, end, ... of their runs, ends not included."""
+    starts = np.unique(starts)
+    if not len(starts):
+        return starts
+    first = np.concatenate(([True], np.diff(starts) > 1))
+    return np.stack((starts[first], np.append(starts[:-1][first[1:]], starts[-1]) + 1), axis=1).ravel()
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [runs(np.asarray(x.values, dtype=np.int32)) for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "runs"])
+
+
+def covered(n_words: int, found: np.ndarray, window: int) -> np.ndarray:
+    """Which of ``n_words`` words the windows that start in ``found`` runs cover."""
     step = np.zeros(n_words + 1, dtype=np.int64)
-    np.add.at(step, starts, 1)
-    np.add.at(step, np.minimum(starts + window, n_words), -1)
+    np.add.at(step, found[::2], 1)
+    np.add.at(step, np.minimum(found[1::2] - 1 + window, n_words), -1)
     return np.cumsum(step[:-1]) > 0
 
 
@@ -171,9 +195,9 @@ def _remove(p: SuffixDedup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = ([], [], [], [])
-            for text, starts in zip(batch.column(1), batch.column(2), strict=True):
+            for text, found in zip(batch.column(1), batch.column(2), strict=True):
                 words = (text.as_py() or "").encode().split()
-                gone = covered(len(words), np.asarray(starts.values, dtype=np.int64), p.window)
+                gone = covered(len(words), np.asarray(found.values, dtype=np.int64), p.window)
                 kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
                 for x, v in zip(out, (len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()), strict=True):
                     x.append(v)
@@ -211,9 +235,10 @@ def dedup_passages(spark: SparkSession, docs: DataFrame, p: SuffixDedup = Suffix
     texts = docs.join(_few(wanted, "marks", p), "doc_id").select("doc_id", "text", "marks")
     suffixes = scratch.cut(texts.mapInArrow(_suffixes(p), "doc_id long, start int, " + ", ".join(f"s{i} long" for i in range(p.symbols))), "suffixes")
     scratch.drop(marks, twice, wanted)
-    found = scratch.cut(repeats(suffixes, scratch, p).groupBy("doc_id").agg(F.collect_list("start").alias("starts")), "repeats")
+    found = repeats(suffixes, scratch, p).groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
+    found = scratch.cut(found.mapInArrow(_runs, "doc_id long, runs array<int>"), "repeats")
     scratch.drop(suffixes)
-    changed = docs.join(_few(found, "starts", p), "doc_id").select("doc_id", "text", "starts").mapInArrow(_remove(p), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    changed = docs.join(_few(found, "runs", p), "doc_id").select("doc_id", "text", "runs").mapInArrow(_remove(p), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     rest = profile.select("doc_id", "n_words", "kept_sha256").join(small(found.select("doc_id")), "doc_id", "left_anti")
     rest = rest.join(small(whole.select("doc_id", F.lit(True).alias("all"))), "doc_id", "left")
     none = hashlib.sha256(b"").hexdigest()
