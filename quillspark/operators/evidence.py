@@ -51,14 +51,30 @@ def link(requested: DataFrame, provenance: DataFrame, versions: DataFrame, most:
     return row.withColumn("evidence_error", error).withColumn("evidence_id", F.sha2(F.concat_ws("|", "candidate_id", "field_name", "document_version_id", F.trim("quote")), 256)).drop("_body", "in_limits")
 
 
-def contained(quotes: DataFrame, docs: DataFrame, quote: str = "quote", body: str = "text", prefix: int = 12) -> DataFrame:
+def _confirm(places: DataFrame, probes: DataFrame, quote: str, body: str) -> DataFrame:
+    near = places.join(probes.select("_probe").distinct(), "_probe", "left_semi").join(probes, "_probe")
+    return near.where(F.contains(body, quote)).drop("_probe")
+
+
+def contained(quotes: DataFrame, docs: DataFrame, quote: str = "quote", body: str = "text") -> DataFrame:
     """All pairs of quotes and documents that hold them, without comparing each with each.
 
-    Quotes and texts meet on the quote's first ``prefix`` characters, of which a text has one for every
-    place, and each meeting is then confirmed.  Shorter quotes are not looked for.
+    A quote and a text meet on the quote's longest inner word, one with a space on either side, and each
+    meeting is then confirmed.  Quotes without an inner word need ``contained_by_prefix``.
+    """
+    inner = F.filter(F.split(quote, " "), lambda w, i: (w != "") & (i > 0) & (i < F.size(F.split(quote, " ")) - 1))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    probes = quotes.withColumn("_probe", longest).where("_probe IS NOT NULL")
+    return _confirm(docs.withColumn("_probe", F.explode(F.array_distinct(F.split(body, " ")))), probes, quote, body)
+
+
+def contained_by_prefix(quotes: DataFrame, docs: DataFrame, quote: str = "quote", body: str = "text", prefix: int = 12) -> DataFrame:
+    """``contained`` for quotes of any words: they meet texts on their first ``prefix`` characters.
+
+    A text has such a beginning at every place, so this is for short texts or few quotes; shorter quotes
+    are not looked for.
     """
     probes = quotes.where(F.length(quote) >= prefix).withColumn("_probe", F.substring(quote, 1, prefix))
-    wanted = probes.select("_probe").distinct()
-    places = docs.withColumn("_probe", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(body) - prefix + 1, F.lit(1))), lambda i: F.substring(F.col(body), i, F.lit(prefix))))))
-    near = places.join(wanted, "_probe", "left_semi").join(probes, "_probe")
-    return near.where(F.contains(body, quote)).drop("_probe")
+    starts = F.sequence(F.lit(1), F.greatest(F.length(body) - prefix + 1, F.lit(1)))
+    places = docs.withColumn("_probe", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(body), i, F.lit(prefix))))))
+    return _confirm(places, probes, quote, body)

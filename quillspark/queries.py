@@ -216,7 +216,7 @@ def evidence_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The beginnings of benchmark items as quotes, found in all documents."""
     quotes = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("quote"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return evidence.contained(quotes, docs, prefix=24).select("item_id", "doc_id")
+    return evidence.contained(quotes, docs).select("item_id", "doc_id")
 
 
 @query("""
