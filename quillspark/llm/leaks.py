@@ -70,23 +70,32 @@ class Index:
     by_q: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
 
 
-def _hash_grams(data: np.ndarray, q: int) -> np.ndarray:
-    """A hash of each run of ``q`` bytes; exact for up to 8, as those fill one word."""
+def _eights(data: np.ndarray) -> np.ndarray:
+    """Each run of eight bytes as one word, by doubling."""
+    out = data.astype(np.uint64)
+    for step in (1, 2, 4):
+        if len(out) <= step:
+            return out[:0]
+        out = (out[:-step] << np.uint64(8 * step)) | out[step:]
+    return out
+
+
+def _hash_grams(data: np.ndarray, q: int, eights: np.ndarray | None = None) -> np.ndarray:
+    """A hash of each run of ``q`` bytes; ``eights`` are the runs of eight, if they are known."""
     n = len(data) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    if q <= 8:
+    if q < 8:
         out = np.zeros(n, np.uint64)
         for j in range(q):
-            out = (out << np.uint64(8)) | data[j : j + n].astype(np.uint64)
+            out = (out << np.uint64(8)) | data[j : j + n]
         return out * np.uint64(0x9E3779B97F4A7C15)
-    out = np.zeros(n, np.uint64)
-    low = _hash_grams(data, 8)
-    out = low[:n].copy()
-    tail = np.zeros(n, np.uint64)
-    for j in range(8, q):
-        tail = (tail << np.uint64(8)) | data[j : j + n].astype(np.uint64)
-    return (out ^ (tail * np.uint64(0xC2B2AE3D27D4EB4F) + (out >> np.uint64(29)))) * np.uint64(0x9E3779B97F4A7C15)
+    eights = _eights(data) if eights is None else eights
+    out = eights[:n] * np.uint64(0x9E3779B97F4A7C15)
+    if q > 8:  # the last eight bytes overlap the first; together they are the whole run
+        out = (out ^ (out >> np.uint64(29))) + eights[q - 8 : q - 8 + n] * np.uint64(0xC2B2AE3D27D4EB4F)
+        out *= np.uint64(0x9E3779B97F4A7C15)
+    return out
 
 
 _TABLE_BITS = 22
@@ -146,27 +155,35 @@ def align(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int]
     return int(min(cost[end], most + 1)), int(begin[end]), end
 
 
-def _regions(pos: np.ndarray, diag: np.ndarray, size: int, k: int, bound: int) -> Iterator[tuple[int, int]]:
-    """Spans of text, to be aligned, where a band of diagonals has ``bound`` hits within a passage."""
+def _regions(pos: np.ndarray, inside: np.ndarray, size: int, k: int, q: int, bound: int) -> Iterator[tuple[int, int]]:
+    """Spans of text, to be aligned, where a band of diagonals has ``bound`` hits within a passage.
+
+    Q-grams that edits leave alone have places of their own in the text and in the item, so a place
+    counts once, however many hits it has.
+    """
     half = k + 1
-    band = np.concatenate((diag // half, diag // half - 1))
-    where = np.concatenate((pos, pos))
+    diag = (pos - inside) // half
+    band = np.concatenate((diag, diag - 1))
+    where, item = np.concatenate((pos, pos)), np.concatenate((inside, inside))
     order = np.lexsort((where, band))
-    band, where = band[order], where[order]
-    if len(band) < bound:
+    band, where, item = band[order], where[order], item[order]
+    new = np.concatenate(([True], (band[1:] != band[:-1]) | (where[1:] != where[:-1])))
+    one, place = band[new], where[new]
+    if len(one) < bound:
         return
-    # hits i and i + bound - 1 of one band, no further apart than a passage
-    near = (band[bound - 1 :] == band[: len(band) - bound + 1]) & (where[bound - 1 :] - where[: len(band) - bound + 1] <= size + k)
-    spans: dict[int, list[int]] = {}
-    for b in np.unique(band[: len(near)][near]).tolist():
-        # the diagonals of band b are b * half up to (b + 2) * half; the passage starts near them
-        spans.setdefault(b, [b * half - k, (b + 2) * half + size + k])
+    # hits i and i + bound - 1 of one band, no further apart than in a passage
+    near = (one[bound - 1 :] == one[: len(one) - bound + 1]) & (place[bound - 1 :] - place[: len(one) - bound + 1] <= size + k - q)
     merged: list[list[int]] = []
-    for lo, hi in sorted(spans.values()):
-        if merged and lo <= merged[-1][1] and hi - merged[-1][0] <= 4 * (size + 2 * half + 2 * k):
-            merged[-1][1] = max(hi, merged[-1][1])
+    for b in np.unique(one[: len(near)][near]).tolist():
+        lo, hi = np.searchsorted(band, [b, b + 1])
+        if len(np.unique(item[lo:hi])) < bound:
+            continue
+        # the diagonals of band b are b * half up to (b + 2) * half; the passage starts near them
+        first, last = b * half - k, (b + 2) * half + size + k
+        if merged and first <= merged[-1][1] and last - merged[-1][0] <= 4 * (size + 2 * half + 2 * k):
+            merged[-1][1] = last
         else:
-            merged.append([lo, hi])
+            merged.append([first, last])
     yield from ((lo, hi) for lo, hi in merged)
 
 
@@ -174,8 +191,9 @@ def find(column: pa.Array, index: Index) -> Iterator[tuple[int, int, int, int, i
     """(row, item, edits, byte start, byte end) of the best match of each item that a text holds."""
     raw, offsets = W.text_buffers(column)
     data, edges, place = fold(raw, offsets)
+    eights = _eights(data)
     for q, (grams, item, item_place, table) in index.by_q.items():
-        h = _hash_grams(data, q)
+        h = _hash_grams(data, q, eights)
         pos = np.flatnonzero(table[h >> np.uint64(64 - _TABLE_BITS)])
         if not len(pos):
             continue
@@ -186,28 +204,25 @@ def find(column: pa.Array, index: Index) -> Iterator[tuple[int, int, int, int, i
         pos, row, lo, count = pos[ok], row[ok], lo[ok], (hi - lo)[ok]
         if not len(pos):
             continue
-        # the last entry of each q-gram repeats: hits are all pairs of a place and an entry
+        # a place has as many hits as its q-gram has entries in the index
         total = np.cumsum(count)
         at = np.arange(total[-1]) + np.repeat(lo - (total - count), count)
         pair = np.repeat(row, count) * len(index.ids) + item[at]
         where, inside = np.repeat(pos, count), item_place[at]
-        # the bound must be reached within the whole text before bands are looked at
-        seen, inverse, n = np.unique(pair, return_inverse=True, return_counts=True)
-        enough = n >= index.bound[seen % len(index.ids)]
-        keep = enough[inverse]
+        # the bound must be reached by places of the whole text before bands are looked at
+        keep = _enough(pair, where, index)
         pair, where, inside = pair[keep], where[keep], inside[keep]
-        order = np.lexsort((where, pair))
+        order = np.argsort(pair, kind="stable")
         pair, where, inside = pair[order], where[order], inside[order]
         cut = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else np.zeros(0, np.int64)
-        for a, b in zip(cut, [*cut[1:], len(pair)], strict=True):
+        for a, b in zip(cut, np.append(cut[1:], len(pair)), strict=False):
             r, k = divmod(int(pair[a]), len(index.ids))
             text = data[edges[r] : edges[r + 1]]
             goal, most = index.texts[k], int(index.edits[k])
             exact = text.tobytes().find(goal.tobytes())
             best = (0, exact, exact + len(goal)) if exact >= 0 else None
             if best is None:
-                local = where[a:b] - edges[r]
-                for lo_, hi_ in _regions(local, local - inside[a:b], len(goal), most, int(index.bound[k])):
+                for lo_, hi_ in _regions(where[a:b] - edges[r], inside[a:b], len(goal), most, q, int(index.bound[k])):
                     lo_, hi_ = max(0, lo_), min(len(text), hi_)
                     edits, s, e = align(goal, text[lo_:hi_], most)
                     if edits <= most and (best is None or edits < best[0]):
@@ -217,6 +232,19 @@ def find(column: pa.Array, index: Index) -> Iterator[tuple[int, int, int, int, i
                 yield r, index.ids[k], best[0], s - int(offsets[r]), e - int(offsets[r])
 
 
+def _enough(pair: np.ndarray, where: np.ndarray, index: Index) -> np.ndarray:
+    """The hits of pairs (text, item) whose places are as many as the item's bound."""
+    order = np.lexsort((where, pair))
+    a, b = pair[order], where[order]
+    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    cut = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+    places = np.add.reduceat(new, cut)
+    ok = places >= index.bound[a[cut] % len(index.ids)]
+    out = np.zeros(len(pair), dtype=bool)
+    out[order] = np.repeat(ok, np.diff(np.append(cut, len(a))))
+    return out
+
+
 def _matches(sent, p: Leaks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
