@@ -85,7 +85,7 @@ def encode(column: pa.Array, p: Quality) -> tuple[np.ndarray, np.ndarray]:
         fresh = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
         x[:, -4] = np.bincount(place, same, total) / count
         x[:, -3] = np.bincount(a, fresh, total) / count
-        x[:, -2] = np.minimum(n_bytes[:, 0] / count / 16, 4)
+        x[:, -2] = np.minimum(shares.sum(axis=1) / count / 16, 4)
     return x, edges
 
 
