@@ -39,7 +39,7 @@ class Toxicity:
     sample: int = 12_000
     features: int = 2000
     #: Least z-score and number of toxic texts of a selected feature.
-    z: float = 4.0
+    z: float = 3.5
     least: int = 5
     folds: int = 5
     steps: int = 250

@@ -99,6 +99,8 @@ class Counter:
         first = edges[:-1][size > 0]
         begins = data == 0x20
         begins[1:] &= data[:-1] != 0x20
+        # a mark that stands in the text itself belongs to the run of marks too
+        begins[3:] &= ~((data[:-3] == 0xE2) & (data[1:-2] == 0x96) & (data[2:-1] == 0x81))
         if self.split:
             begins[first] = True
         else:
