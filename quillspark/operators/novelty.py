@@ -99,4 +99,4 @@ def classify(candidates: DataFrame, existing: DataFrame, fold=text.fold_unicode)
     status = F.element_at(F.array(*[F.lit(r) for r in RELATIONS]), F.col("best").cast("int"))
     out = candidates.select("candidate_id").join(best, F.col("candidate_id") == F.col("a"), "left")
     ids = F.array_sort(F.array_distinct(F.transform(picked, lambda p: p["b"])))
-    return out.select("candidate_id", F.coalesce(status, F.lit("new")).alias("novelty_status"), F.coalesce(ids, F.array().cast(f"array<{existing.schema['candidate_id'].dataType.simpleString()}>")).alias("related_ids"))
+    return out.select("candidate_id", F.when(F.col("best").isNull(), "new").otherwise(status).alias("novelty_status"), F.coalesce(ids, F.array().cast(f"array<{existing.schema['candidate_id'].dataType.simpleString()}>")).alias("related_ids"))
