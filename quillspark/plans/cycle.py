@@ -6,7 +6,7 @@ and one table of tallies.  Rows that fail a stage carry an error class and do no
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -26,12 +26,14 @@ CANDIDATE = "canonical_name string, strategy_families array<string>, asset_class
 class Cycle:
     """The frames of a run by stage, and the error column that each may carry."""
 
+    keep: Callable[[str, DataFrame], DataFrame]
     frames: dict[str, DataFrame] = field(default_factory=dict)
     errors: dict[str, Column] = field(default_factory=dict)
 
     def add(self, stage: str, df: DataFrame, error: Column | None = None) -> DataFrame:
-        self.frames[stage], self.errors[stage] = df, F.lit(None).cast("string") if error is None else error
-        return df
+        self.frames[stage] = self.keep(stage, df)
+        self.errors[stage] = F.lit(None).cast("string") if error is None else error
+        return self.frames[stage]
 
     def tallies(self) -> DataFrame:
         """(stage, position, processed, succeeded, failed), a row for each stage that ran."""
@@ -43,13 +45,25 @@ class Cycle:
         return out
 
 
-def run_cycle(tables: Mapping[str, DataFrame], now: Column, settings: Settings = Settings()) -> Cycle:
+def written(folder: str) -> Callable[[str, DataFrame], DataFrame]:
+    """A ``keep`` that writes each stage as Parquet under ``folder`` and reads it back."""
+
+    def keep(stage: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{folder}/{stage}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{stage}")
+
+    return keep
+
+
+def run_cycle(tables: Mapping[str, DataFrame], now: Column, settings: Settings = Settings(), keep: Callable[[str, DataFrame], DataFrame] = lambda _, df: df) -> Cycle:
     """All stages over ``tables``: items, versions, recordings, candidates, occurrences, previous_items,
     deliveries, jobs, sources, windows.
 
     Candidates of a run are compared with those that were there before it, never with themselves.
+    ``keep`` is given each stage's frame and returns what later stages read: ``written`` cuts the plan
+    there, so that no stage is worked out again for the next; without it nothing runs here.
     """
-    run = Cycle()
+    run = Cycle(keep)
     staged = versions.stage(tables["items"])
     new = run.add("collect", versions.change_summary(versions.new_versions(staged, tables["versions"])))
     told = run.add("classify", relevance.classify(new.withColumn("text", F.coalesce("normalized_body", F.lit(""))), title="title", explain=False))
@@ -59,13 +73,14 @@ def run_cycle(tables: Mapping[str, DataFrame], now: Column, settings: Settings =
     drawn = validation.candidate_rows(answers.drop("error_class"), CANDIDATE)
     drawn = drawn.withColumn("candidate_id", F.sha2(F.concat_ws("|", "document_version_id", "canonical_name"), 256)).withColumn("document_version_ids", F.array("document_version_id"))
     run.add("extract", drawn, F.col("error_class"))
+    drawn = run.frames["extract"]
     good = drawn.where("error_class IS NULL").drop("error_class")
     asked = good.select("candidate_id", "document_version_id", F.posexplode("quotes").alias("request_id", "q")).select("candidate_id", "document_version_id", "request_id", "q.*")
     proof = asked.select("field_name", "quote", "document_version_id", F.col("request_id").alias("provenance_id"), F.lit(True).alias("accepted")).distinct()
     linked = evidence.link(asked, proof, new.select("document_version_id", F.col("normalized_body").alias("body")), chars=settings.quote_max_chars)
+    linked = run.add("evidence", linked, F.col("evidence_error"))
     held = validation.keep_supported(good.drop("quotes"), linked)
     checked = run.add("validate", validation.validate(held, linked.withColumn("evidence_error", F.when(F.col("evidence_error") != "quote_not_in_source", F.col("evidence_error")))), F.col("error_class"))
-    run.add("evidence", linked, F.col("evidence_error"))
     valid = checked.where("error_class IS NULL").drop("error_class", "state", "contract_errors")
     scored = run.add("score", scoring.score(valid, now))
     before = tables["candidates"].join(scored.select("candidate_id"), "candidate_id", "left_anti")

@@ -29,8 +29,8 @@ def tables(spark):
     }
 
 
-def test_a_whole_cycle(spark):
-    run = cycle.run_cycle(tables(spark), F.lit(T0 + timedelta(1)).cast("timestamp"))
+def test_a_whole_cycle(spark, tmp_path):
+    run = cycle.run_cycle(tables(spark), F.lit(T0 + timedelta(1)).cast("timestamp"), keep=cycle.written(str(tmp_path)))
     tally = {r.stage: (r.processed, r.succeeded, r.failed) for r in run.tallies().collect()}
     assert list(tally) == list(cycle.STAGES) or set(tally) == set(cycle.STAGES)
     assert tally["collect"] == (3, 3, 0) and tally["extract"] == (2, 1, 1) and tally["evidence"] == (3, 2, 1) and tally["validate"] == (1, 1, 0)
@@ -41,8 +41,8 @@ def test_a_whole_cycle(spark):
     assert {r.verdict for r in run.frames["metrics"].collect()} == {"met", "insufficient_data"} and run.frames["alerting"].count() == 4
 
 
-def test_a_repeated_cycle_collects_nothing(spark):
+def test_a_repeated_cycle_collects_nothing(spark, tmp_path):
     first = tables(spark)
-    run = cycle.run_cycle(first, F.lit(T0).cast("timestamp"))
-    again = cycle.run_cycle(first | {"versions": run.frames["collect"].select("document_id", "content_hash", "version_no")}, F.lit(T0).cast("timestamp"))
+    run = cycle.run_cycle(first, F.lit(T0).cast("timestamp"), keep=cycle.written(str(tmp_path / "a")))
+    again = cycle.run_cycle(first | {"versions": run.frames["collect"].select("document_id", "content_hash", "version_no")}, F.lit(T0).cast("timestamp"), keep=cycle.written(str(tmp_path / "b")))
     assert again.frames["collect"].count() == 0 and again.frames["route"].count() == 0
