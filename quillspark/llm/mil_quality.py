@@ -47,6 +47,10 @@ class Quality:
         return 256 + self.pair_bins + 4
 
 
+#: Bytes of text that are encoded at once: each takes some 80 bytes of memory on the way.
+_CHUNK = 1 << 20
+
+
 def encode(column: pa.Array, p: Quality) -> tuple[np.ndarray, np.ndarray]:
     """Features of all passages of all texts, and the edges of each text's passages.
 
@@ -167,7 +171,7 @@ def train(bags: list[np.ndarray], y: np.ndarray, p: Quality) -> Model:
 def _encoded(p: Quality):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.chunks(batch):
+            for part in W.chunks(batch, "text", _CHUNK):
                 x, edges = encode(part.column(0), p)
                 raw = [x[a:b].astype(np.float16).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(raw, pa.binary())], names=["quality", "x"])
@@ -179,7 +183,7 @@ def _scored(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, p = model.value
         for batch in batches:
-            for part in W.chunks(batch):
+            for part in W.chunks(batch, "text", _CHUNK):
                 x, edges = encode(part.column(1), p)
                 score, _ = m.forward(x, edges)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(score.astype(np.float64)), pa.array((score >= p.threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
@@ -223,7 +227,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, held_out:
     def accepted(column: pd.Series) -> pd.Series:
         m, q = model.value
         out = []
-        for part in W.chunks(pa.RecordBatch.from_arrays([pa.array(column, pa.string())], names=["text"])):
+        for part in W.chunks(pa.RecordBatch.from_arrays([pa.array(column, pa.string())], names=["text"]), "text", _CHUNK):
             out.append(m.forward(*encode(part.column(0), q))[0] >= q.threshold)
         return pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
 
