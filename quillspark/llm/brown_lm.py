@@ -5,16 +5,18 @@ words and one end, of a class transition and an emission of the word by its clas
 
     log10 p(text) = sum log10 P(class | class before) + sum log10 P(word | class)
 
-What is clustered are units: the most frequent words, one unit each, and all other words in groups
-by the ending they share, so every word, seen or not, has a class.  Unit bigrams, word counts and
-the numbers of words per class come from all training documents.  Transitions are smoothed towards
-class frequencies; emissions discount every seen word by D and give the mass to unseen ones.
+The exchange starts from units: the most frequent words, one unit each, and all other words in
+groups by the ending they share.  Then rounds move every other training word by itself, from what
+stands before and after it in all training documents; words, counts and classes stay in tables.  A
+word of a round is moved as if it moved alone, so a round that lowers the likelihood is taken back.
+Only unseen words keep the class of their ending.  Transitions are smoothed towards class
+frequencies; emissions discount every seen word by D and give the mass to unseen ones.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +35,10 @@ class BrownLM:
     groups: int = 256
     classes: int = 64
     sweeps: int = 8
-    #: A word with a share of 1 / common of all tokens or more has its count sent to every task:
-    #: at most so many words can (32 MB), the counts of all others are joined.
+    #: Frequent words have a share of 1 / common of all tokens or more: at most so many words can.
     common: int = 2_000_000
+    #: Rounds in which each word that is not a unit of its own is moved.
+    rounds: int = 2
 
     @property
     def units(self) -> int:
@@ -171,16 +174,15 @@ class Model:
     log_class: np.ndarray
     log_unseen: np.ndarray
     discount: float
-    common: np.ndarray
-    common_n: np.ndarray
     tokens: int
     ends: int
     distinct: int
-    extra: dict = field(default_factory=dict)
+    #: Tokens of each pair of classes.
+    joint: np.ndarray
 
 
 def fit(spark: SparkSession, train: DataFrame, counts: DataFrame, p: BrownLM) -> Model:
-    """The model of the training texts; ``counts`` is the cut table (word, ending, n) of all of them."""
+    """The model that rounds start from; ``counts`` is the cut table (word, ending, n) of the training texts."""
     sums = counts.agg(F.sum("n"), F.count("*"), F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))).first()
     tokens, distinct, once, twice = (int(x or 0) for x in sums)
     ends = train.count()
@@ -197,8 +199,6 @@ def fit(spark: SparkSession, train: DataFrame, counts: DataFrame, p: BrownLM) ->
     member = np.zeros((p.units, p.classes))
     member[np.arange(p.units), cls] = 1
     joint = member.T @ pairs @ member
-    share = (joint.sum(axis=0) + 1) / (joint.sum() + p.classes)
-    transition = np.log10((joint + p.classes * share[None, :]) / (joint.sum(axis=1, keepdims=True) + p.classes))
     groups = counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("words")).toPandas()
     unit_n, unit_words = np.zeros(p.units), np.zeros(p.units)
     at = groups["ending"].to_numpy(dtype=np.int64) + p.frequent
@@ -209,61 +209,350 @@ def fit(spark: SparkSession, train: DataFrame, counts: DataFrame, p: BrownLM) ->
     np.subtract.at(unit_words, top["ending"].to_numpy(dtype=np.int64)[by_rank] + p.frequent, 1)
     class_n, class_words = np.bincount(cls, unit_n, p.classes), np.bincount(cls, unit_words, p.classes)
     discount = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
+    return Model(units, cls, *_tables(joint, class_n, class_words, discount), discount, tokens + ends, ends, distinct + (ends > 0), joint)
+
+
+def _tables(joint: np.ndarray, class_n: np.ndarray, class_words: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Transitions, log10 of the tokens of each class, and of the share of its unseen words."""
+    classes = len(joint)
+    share = (joint.sum(axis=0) + 1) / (joint.sum() + classes)
+    transition = np.log10((joint + classes * share[None, :]) / (joint.sum(axis=1, keepdims=True) + classes))
     unseen = np.where(class_n > 0, discount * class_words / np.maximum(class_n, 1), 1.0)
-    order = np.argsort(word)
-    return Model(units, cls, transition, np.log10(np.maximum(class_n, 1)), np.log10(unseen), discount, word[order], top["n"].to_numpy(dtype=np.int64)[order], tokens + ends, ends, distinct + (ends > 0))
+    return transition, np.log10(np.maximum(class_n, 1)), np.log10(unseen)
+
+
+def _f(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
+
+
+def likelihood(joint: np.ndarray) -> float:
+    """What the exchange raises: the log likelihood of class bigrams up to a constant of the words."""
+    return float(_f(joint).sum() - _f(joint.sum(axis=0)).sum() - _f(joint.sum(axis=1)).sum())
+
+
+#: Counts whose gains are looked up.
+_FEW = 8
+
+
+class Gains:
+    """How much the likelihood rises when one word moves, the others staying where they are."""
+
+    def __init__(self, joint: np.ndarray) -> None:
+        self.joint = joint
+        self.left, self.right = joint.sum(axis=1), joint.sum(axis=0)
+        few = np.arange(_FEW + 1.0)[:, None, None]
+        #: By count, class beside the word, and class of the word.
+        self.after = _f(joint.T[None] + few) - _f(joint.T)[None]
+        self.before = _f(joint[None] + few) - _f(joint)[None]
 
+    def _sum(self, beside: np.ndarray, joint: np.ndarray, table: np.ndarray) -> np.ndarray:
+        row, c = np.nonzero(beside)
+        n = beside[row, c]
+        each = table[np.minimum(n, _FEW).astype(np.int64), c]
+        many = n > _FEW
+        each[many] = _f(joint[c[many]] + n[many, None]) - _f(joint[c[many]])
+        out = np.zeros(beside.shape)
+        if len(row):
+            at = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+            out[row[at]] = np.add.reduceat(each, at, axis=0)
+        return out
+
+    def of(self, cls: np.ndarray, after: np.ndarray, before: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Gains (word, class) of words of class ``cls``: ``after`` and ``before`` hold how often each
+        class stands beside the word, ``own`` how often the word follows itself, which neither holds."""
+        j, i = self.joint, np.arange(len(cls))
+        ja, jt, diag = j[cls], j.T[cls], np.diagonal(j)
+        aa, ba, own = after[i, cls], before[i, cls], own.astype(float)
+
+        def d(x: np.ndarray, more: np.ndarray) -> np.ndarray:
+            return _f(x + more) - _f(x)
+
+        ra, ca = d(ja, -after), d(jt, -before)
+        gain = self._sum(after, j.T, self.after) - d(jt, aa[:, None]) - d(diag, after)
+        gain += self._sum(before, j, self.before) - d(ja, ba[:, None]) - d(diag, before)
+        gain += (ra.sum(axis=1) - ra[i, cls] + ca.sum(axis=1) - ca[i, cls])[:, None] - ra - ca
+        gain += d(diag[cls], -aa - ba - own)[:, None] + d(diag, after + before + own[:, None])
+        gain += d(ja, ba[:, None] - after) + d(jt, aa[:, None] - before)
+        for side, n in ((self.left, after.sum(axis=1) + own), (self.right, before.sum(axis=1) + own)):
+            gain -= d(side[cls], -n)[:, None] + d(side, n[:, None])
+        gain[i, cls] = 0
+        return gain
+
+
+_CODED = "chunk long, doc_id array<long>, held_out array<boolean>, first array<int>, words array<long>, ending array<short>, n array<long>, seq binary"
 
-_LOCAL = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<word:long,cls:int,times:int>>"
 
+def _lists(*columns: np.ndarray | pa.Array) -> list[pa.Array]:
+    return [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c if isinstance(c, pa.Array) else pa.array(c)) for c in columns]
 
-def _local(model) -> object:
-    """What a row's frequent words, ends and transitions give, and its other words."""
+
+def _encode(p: BrownLM):
+    """Chunks of rows: their distinct words, how often training rows hold each, and rows as places among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = model.value
-        row = TaskContext.get().partitionId() << 40
-        floor = np.log10(float(m.tokens) + m.distinct + 1) if m.tokens else 0.0
-        seen_log = np.log10(np.maximum(m.common_n - m.discount, 1e-9))
-        base_log = np.log10(m.common_n + 1.0)
+        chunk = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in W.chunks(batch):
                 words = W.Words(part.column(2), fold=True)
-                seq, ends = m.units.sequence(words)
-                cls = m.cls[seq]
-                n = part.num_rows
-                lengths = np.diff(words.first)
-                steps = np.concatenate(([0.0], np.cumsum(m.transition[cls[:-1], cls[1:]])))
-                score = steps[ends[1:]] - steps[ends[:-1]]
-                rows = words.rows()
-                inside = np.ones(len(seq), dtype=bool)
-                inside[ends] = False
-                word_cls = cls[inside]
-                if len(m.common):
-                    at = np.minimum(np.searchsorted(m.common, words.hashes), len(m.common) - 1)
-                    hit = m.common[at] == words.hashes
-                else:
-                    at, hit = np.zeros(len(words), np.int64), np.zeros(len(words), bool)
-                score += np.bincount(rows[hit], seen_log[at[hit]] - m.log_class[word_cls[hit]], n) if hit.any() else 0
-                base = np.bincount(rows[hit], base_log[at[hit]], n) if hit.any() else np.zeros(n)
-                base += np.log10(m.ends + 1.0) - floor * (lengths + 1)
-                known = np.bincount(rows[hit], minlength=n) + (m.ends > 0)
-                r, h, c = rows[~hit], words.hashes[~hit], word_cls[~hit]
-                order = np.lexsort((h, r))
-                r, h, c = r[order], h[order], c[order]
-                new = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (h[1:] != h[:-1])))) if len(r) else np.zeros(0, np.int64)
-                times = np.diff(np.concatenate((new, [len(r)])))
-                fields = pa.StructArray.from_arrays([pa.array(h[new].view(np.int64)), pa.array(c[new].astype(np.int32)), pa.array(times.astype(np.int32))], names=["word", "cls", "times"])
-                off = np.searchsorted(r[new], np.arange(n + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row + np.arange(n)), part.column(0), part.column(1), pa.array((lengths + 1).astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), pa.ListArray.from_arrays(off, fields)],
-                    names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
-                )
-                row += n
+                word, at, place = np.unique(words.hashes, return_index=True, return_inverse=True)
+                held = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
+                n = np.bincount(place[~held[words.rows()]], minlength=len(word))
+                lists = _lists(part.column(0), pa.array(held), words.first.astype(np.int32), word.view(np.int64), _group(words, p)[at].astype(np.int16), n.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), *lists, pa.array([place.astype(np.int32).tobytes()], pa.binary())], names=["chunk", "doc_id", "held_out", "first", "words", "ending", "n", "seq"])
+                chunk += 1
 
     return run
 
 
+def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of chunks: chunk, place, word, ending, n."""
+    for batch in batches:
+        words = batch.column(1)
+        sizes = np.diff(words.offsets.to_numpy())
+        chunk = np.repeat(batch.column(0).to_numpy(), sizes)
+        place = np.arange(len(chunk)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(place.astype(np.int32)), words.flatten(), batch.column(2).flatten(), batch.column(3).flatten()], names=["chunk", "place", "word", "ending", "n"])
+
+
+_CLASSES = "word long, ending short, n long, cls short, fixed boolean"
+
+
+def _first_classes(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = model.value
+        for batch in batches:
+            word = batch.column(0).to_numpy().view(np.uint64)
+            unit = batch.column(1).to_numpy().astype(np.int64) + m.units.p.frequent
+            fixed = np.zeros(len(word), dtype=bool)
+            if len(m.units.frequent):
+                at = np.minimum(np.searchsorted(m.units.frequent, word), len(m.units.frequent) - 1)
+                fixed = m.units.frequent[at] == word
+                unit[fixed] = at[fixed]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.cls[unit].astype(np.int16)), pa.array(fixed)], names=["word", "ending", "n", "cls", "fixed"])
+
+    return run
+
+
+class _Chunk:
+    """A chunk whose seen words have their classes and counts; unseen words have those of their ending and none."""
+
+    def __init__(self, m: Model, coded: pa.Table, known: pa.Table) -> None:
+        flat = {k: coded.column(k).combine_chunks().flatten() for k in coded.column_names if k not in ("chunk", "seq")}
+        self.doc_id, self.words = flat.get("doc_id"), flat.get("words")
+        self.held, self.first, self.ending = flat["held_out"].to_numpy(zero_copy_only=False).astype(bool), flat["first"].to_numpy().astype(np.int64), flat["ending"].to_numpy().astype(np.int64)
+        self.seq = np.frombuffer(coded.column("seq")[0].as_py(), dtype=np.int32).astype(np.int64)
+        self.cls = m.cls[self.ending + m.units.p.frequent]
+        self.n, self.fixed = np.zeros(len(self.ending), np.int64), np.zeros(len(self.ending), bool)
+        if known.num_rows:
+            at = known.column("place").to_numpy()
+            self.cls[at], self.n[at], self.fixed[at] = (known.column(k).to_numpy() for k in ("cls", "n", "fixed"))
+
+    def training(self) -> np.ndarray:
+        """Places of the words of training rows, ends before and after each row."""
+        sizes = np.diff(self.first)
+        tokens = self.seq[np.repeat(~self.held, sizes)]
+        ends = np.concatenate(([0], np.cumsum(sizes[~self.held] + 1)))
+        out = np.full(ends[-1] + 1, len(self.ending), dtype=np.int64)
+        inside = np.ones(len(out), dtype=bool)
+        inside[ends] = False
+        out[inside] = tokens
+        return out
+
+
+def _code_type(p: BrownLM) -> type:
+    return np.uint8 if 2 * p.classes < 256 else np.uint16
+
+
+_BESIDE = "word long, ending short, n long, cls short, beside binary, pair int, times long"
+
+
+def _beside(model):
+    """What stands beside the words of a chunk that may move: the class after, that before plus
+    ``classes``, or twice ``classes`` for the word itself, an entry a time; and pairs of classes."""
+
+    def run(coded: pa.Table, known: pa.Table) -> pa.Table:
+        m: Model = model.value
+        p = m.units.p
+        types = pa.schema([("word", pa.int64()), ("ending", pa.int16()), ("n", pa.int64()), ("cls", pa.int16()), ("beside", pa.binary()), ("pair", pa.int32()), ("times", pa.int64())])
+        if not coded.num_rows:
+            return types.empty_table()
+        c = _Chunk(m, coded, known)
+        seq = c.training()
+        cls = np.append(c.cls, p.classes - 1)[seq]
+        total = np.bincount(cls[:-1] * p.classes + cls[1:], minlength=p.classes**2)
+        pair = np.flatnonzero(total)
+        free = np.append(~c.fixed, False)[seq]
+        left, right, same = seq[:-1], seq[1:], seq[:-1] == seq[1:]
+        l, r, o = free[:-1] & ~same, free[1:] & ~same, free[:-1] & same
+        word = np.concatenate((left[l], right[r], left[o]))
+        code = np.concatenate((cls[1:][l], cls[:-1][r] + p.classes, np.full(o.sum(), 2 * p.classes))).astype(_code_type(p))
+        order = np.argsort(word, kind="stable")
+        at, start = np.unique(word[order], return_index=True)
+        width = code.itemsize
+        offsets = np.append(start, len(word)).astype(np.int32) * width
+        data = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(code[order].tobytes())])
+        moved = pa.table([c.words.take(pa.array(at)), pa.array(c.ending[at].astype(np.int16)), pa.array(c.n[at]), pa.array(c.cls[at].astype(np.int16)), data, pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.int64())], schema=types)
+        pairs = pa.table([*(pa.nulls(len(pair), t.type) for t in list(types)[:5]), pa.array(pair.astype(np.int32)), pa.array(total[pair])], schema=types)
+        return pa.concat_tables([moved, pairs])
+
+    return run
+
+
+def _move(gains, p: BrownLM):
+    """Words (word, ending, n, cls, all that stands beside) where the likelihood is largest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, size = gains.value, 2 * p.classes + 1
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2048):
+                batch = whole.slice(start, 2048)
+                lists = batch.column(4)
+                parts = lists.flatten()
+                where = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+                width = np.dtype(_code_type(p)).itemsize
+                n = np.array([len(x) for x in parts.to_pylist()], dtype=np.int64) // width
+                code = np.frombuffer(b"".join(parts.to_pylist()), dtype=_code_type(p)).astype(np.int64)
+                beside = np.bincount(np.repeat(where, n) * size + code, minlength=batch.num_rows * size).reshape(-1, size).astype(float)
+                cls = batch.column(3).to_numpy().astype(np.int64)
+                gain = g.of(cls, beside[:, : p.classes], beside[:, p.classes : -1], beside[:, -1])
+                gain[:, p.classes - 1] = -np.inf
+                best = np.argmax(gain, axis=1)
+                best = np.where(gain[np.arange(len(cls)), best] > 1e-9, best, cls)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(best.astype(np.int16)), pa.array(np.zeros(len(cls), bool))], names=["word", "ending", "n", "cls", "fixed"])
+
+    return run
+
+
+_CLASSED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, seen double, classes binary"
+
+
+def _classed(model):
+    """Rows with the classes of their words, plus ``classes`` where unseen, and what word counts give."""
+
+    def run(coded: pa.Table, known: pa.Table) -> pa.Table:
+        m: Model = model.value
+        p = m.units.p
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "seen", "classes"]
+        if not coded.num_rows:
+            return pa.schema(list(zip(names, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())))).empty_table()
+        c = _Chunk(m, coded, known)
+        floor = np.log10(float(m.tokens) + m.distinct + 1) if m.tokens else 0.0
+        sizes = np.diff(c.first)
+        rows = np.repeat(np.arange(len(sizes)), sizes)
+
+        def total(x: np.ndarray) -> np.ndarray:
+            return np.bincount(rows, x[c.seq], len(sizes)).astype(float)
+
+        base = total(np.log10(c.n + 1.0)) + np.log10(m.ends + 1.0) - floor * (sizes + 1)
+        seen = total(np.where(c.n > 0, np.log10(np.maximum(c.n - m.discount, 1e-9)), 0.0))
+        known_n = total((c.n > 0).astype(float)).astype(np.int64) + (m.ends > 0)
+        code = (c.cls + p.classes * (c.n == 0))[c.seq].astype(_code_type(p))
+        data = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((c.first * code.itemsize).astype(np.int32).tobytes()), pa.py_buffer(code.tobytes())])
+        return pa.table([c.doc_id, pa.array(c.held), pa.array((sizes + 1).astype(np.int64)), pa.array(known_n), pa.array(base), pa.array(seen), data], names=names)
+
+    return run
+
+
+def _steps(column: pa.Array, p: BrownLM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of rows with ends around each, which are words, which of these are unseen, and where ends stand."""
+    codes = [np.frombuffer(x, dtype=_code_type(p)) for x in column.to_pylist()]
+    ends = np.concatenate(([0], np.cumsum([len(x) + 1 for x in codes]))).astype(np.int64)
+    seq = np.full(ends[-1] + 1, p.classes - 1, dtype=np.int64)
+    inside = np.ones(len(seq), dtype=bool)
+    inside[ends] = False
+    code = np.concatenate([*codes, np.zeros(0, _code_type(p))]).astype(np.int64)
+    seq[inside] = code % p.classes
+    return seq, inside, code >= p.classes, ends
+
+
+def _count_classes(p: BrownLM):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(p.classes**2, dtype=np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                seq, *_ = _steps(batch.column(0).slice(at, 1024), p)
+                total += np.bincount(seq[:-1] * p.classes + seq[1:], minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["pair", "times"])
+
+    return run
+
+
+def _score(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = model.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                seq, inside, unseen, ends = _steps(batch.column(6), m.units.p)
+                each = np.concatenate(([0.0], m.transition[seq[:-1], seq[1:]]))
+                word = seq[inside]
+                each[inside] += np.where(unseen, m.log_unseen[word], -m.log_class[word])
+                steps = np.cumsum(each)
+                score = batch.column(5).to_numpy() + steps[ends[1:]] - steps[ends[:-1]]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(np.full(batch.num_rows, m.tokens)), batch.column(4), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return run
+
+
+def _joint(pairs: DataFrame, p: BrownLM) -> np.ndarray:
+    found = pairs.groupBy("pair").agg(F.sum("times").alias("n")).toPandas()
+    joint = np.zeros(p.classes**2)
+    joint[found["pair"].to_numpy(dtype=np.int64)] = found["n"]
+    return joint.reshape(p.classes, p.classes)
+
+
+def learn(spark: SparkSession, docs: DataFrame, p: BrownLM, scratch: Scratch) -> tuple[Model, DataFrame, DataFrame]:
+    """The model, the table of all training words (word, ending, n, cls, fixed), and the classed rows of ``docs``."""
+
+    def cut(df: DataFrame, name: str) -> DataFrame:
+        """A cut table; the shuffle files behind it go when the driver's JVM sees that nothing holds them."""
+        out = scratch.cut(df, name)
+        spark._jvm.System.gc()
+        return out
+
+    coded = scratch.cut(docs.mapInArrow(_encode(p), _CODED), "coded")
+    words = coded.select("chunk", "words", "ending", "n").mapInArrow(_words_of, "chunk long, place int, word long, ending short, n long")
+    counts = cut(words.where("n > 0").groupBy("word", "ending").agg(F.sum("n").alias("n")), "counts")
+    m = fit(spark, docs.where("NOT held_out").select("text"), counts, p)
+    sent = spark.sparkContext.broadcast(m)
+    classes = scratch.cut(counts.mapInArrow(_first_classes(sent), _CLASSES), "classes")
+    frequent = classes.where("fixed")
+
+    def with_words(column: str, words: DataFrame, run, schema: str, name: str) -> DataFrame:
+        known = words.select("chunk", "place", "word").join(classes, "word").select("chunk", "place", "cls", "n", "fixed")
+        chunks = coded.select("chunk", column, "held_out", "first", "ending", "seq")
+        return cut(chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(run, schema), name)
+
+    joint, best, before = m.joint, likelihood(m.joint), None
+    for _ in range(p.rounds if m.tokens else 0):
+        beside = with_words("words", words.where("n > 0"), _beside(sent), _BESIDE, "beside")
+        if before is not None:
+            joint = _joint(beside.where("pair IS NOT NULL"), p)
+            if (now := likelihood(joint)) < best:
+                classes, before = before, None
+                scratch.drop(beside)
+                break
+            best = now
+        whole = beside.where("pair IS NULL").groupBy("word", "ending", "n", "cls").agg(F.collect_list("beside").alias("beside"))
+        moved = whole.mapInArrow(_move(spark.sparkContext.broadcast(Gains(joint)), p), _CLASSES)
+        before, classes = classes, cut(moved.unionByName(frequent), "classes")
+        scratch.drop(beside)
+    while True:
+        classed = with_words("doc_id", words, _classed(sent), _CLASSED, "classed")
+        joint = _joint(classed.where("NOT held_out").select("classes").mapInArrow(_count_classes(p), "pair int, times long"), p)
+        if before is None or likelihood(joint) >= best:
+            break
+        scratch.drop(classed)
+        classes, before = before, None
+    sums = classes.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("words")).toPandas()
+    class_n, class_words = np.zeros(p.classes), np.zeros(p.classes)
+    at = sums["cls"].to_numpy(dtype=np.int64)
+    class_n[at], class_words[at] = sums["n"], sums["words"]
+    transition, log_class, log_unseen = _tables(joint, class_n, class_words, m.discount)
+    return replace(m, transition=transition, log_class=log_class, log_unseen=log_unseen, joint=joint), classes, classed
+
+
 def score(spark: SparkSession, docs: DataFrame, held_out, p: BrownLM = BrownLM()) -> DataFrame:
     """Scores of every row of ``docs`` (doc_id, text, ...), learned from those that ``held_out`` spares.
 
@@ -272,25 +561,6 @@ def score(spark: SparkSession, docs: DataFrame, held_out, p: BrownLM = BrownLM()
     are equally likely.  Rows are scored one by one, so repeated rows repeat; a null doc_id is
     returned as it is.  Other columns are not read.
     """
-    scratch = Scratch(spark, "brown")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    train = docs.where("NOT held_out").select("text")
-    counts = train.mapInArrow(_count_words(p), "word long, ending short, n long").groupBy("word", "ending").agg(F.sum("n").alias("n"))
-    counts = scratch.cut(counts, "counts")
-    model = fit(spark, train, counts, p)
-    local = scratch.cut(docs.mapInArrow(_local(spark.sparkContext.broadcast(model)), _LOCAL), "local")
-    rare = local.select("row", F.inline("rare")).join(counts.select("word", "n"), "word", "left")
-    log_class, log_unseen = (F.array(*[F.lit(float(x)) for x in v]) for v in (model.log_class, model.log_unseen))
-    at = F.col("cls") + 1
-    emission = F.when(F.col("n").isNull(), F.element_at(log_unseen, at)).otherwise(F.log10(F.col("n") - F.lit(model.discount)) - F.element_at(log_class, at))
-    sums = rare.groupBy("row").agg(
-        F.sum(F.col("times") * emission).alias("more_score"),
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("more_base"),
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"),
-    )
-    out = local.drop("rare").join(sums, "row", "left")
-
-    def plus(a: str, b: str):
-        return (F.col(a) + F.coalesce(F.col(b), F.lit(0))).alias(a)
-
-    return out.select("doc_id", "held_out", "n_tokens", plus("n_known", "more_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), plus("base_score", "more_base"), plus("score", "more_score"))
+    model, _, classed = learn(spark, docs, p, Scratch(spark, "brown"))
+    return classed.mapInArrow(_score(spark.sparkContext.broadcast(model)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

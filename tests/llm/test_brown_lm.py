@@ -94,3 +94,50 @@ def test_probabilities_sum_to_one(spark):
         mass[c] += 10 ** (math.log10(n[h] - m.discount) - m.log_class[c])
     used = np.isin(np.arange(P.classes), cls)
     assert np.allclose(mass[used], 1)
+
+
+def test_gain_is_the_rise_of_the_likelihood():
+    rng = np.random.default_rng(2)
+    n, classes = 30, 5
+    pairs = rng.poisson(3, (n, n)).astype(float)
+    cls = np.append(rng.integers(0, classes - 1, n - 1), classes - 1)
+
+    def joint(cls):
+        member = np.eye(classes)[cls]
+        return member.T @ pairs @ member
+
+    now, member = joint(cls), np.eye(classes)[cls]
+    off = pairs - np.diag(np.diag(pairs))
+    gain = B.Gains(now).of(cls, off @ member, off.T @ member, np.diag(pairs))
+    for u in range(n):
+        for c in range(classes):
+            there = cls.copy()
+            there[u] = c
+            assert np.isclose(gain[u, c], B.likelihood(joint(there)) - B.likelihood(now))
+
+
+def test_every_training_word_is_placed(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"{'xy'[j % 2]}{rng.randrange(60)}q" for j in range(60))) for i in range(80)]
+    p = B.BrownLM(frequent=4, groups=2, classes=6)
+    docs = frame(spark, rows).select("doc_id", held().alias("held_out"), "text")
+    m, classes, classed = B.learn(spark, docs, p, B.Scratch(spark, "test"))
+    train = [t for i, t in rows if i % 4]
+    seen = sorted({w for t in train for w in t.split()})
+    from quillspark.llm.words import Words
+    import pyarrow as pa
+
+    of = {r.word: r for r in classes.collect()}
+    cls = {w: of[int(h)].cls for w, h in zip(seen, Words(pa.array([" ".join(seen)]), fold=True).hashes.view(np.int64))}
+    assert len(of) == len(seen) and sum(r.n for r in of.values()) == m.tokens - m.ends
+    assert not {cls[w] for w in seen if w[0] == "x"} & {cls[w] for w in seen if w[0] == "y"}
+    joint = np.zeros((6, 6))
+    for t in train:
+        path = [5, *(cls[w] for w in t.split()), 5]
+        for a, b in zip(path, path[1:]):
+            joint[a, b] += 1
+    assert (joint == m.joint).all() and B.likelihood(joint) > B.likelihood(B.fit(spark, docs.where("NOT held_out").select("text"), spark.createDataFrame([(r.word, r.ending, r.n) for r in of.values()], "word long, ending short, n long"), p).joint)
+    mass = 10**m.log_unseen
+    for r in of.values():
+        mass[r.cls] += 10 ** (math.log10(r.n - m.discount) - m.log_class[r.cls])
+    assert np.allclose(mass[sorted({r.cls for r in of.values()})], 1)
