@@ -34,6 +34,12 @@ def _every(windows: DataFrame, counted: DataFrame, keys: Sequence[str]) -> DataF
     return windows.select(*keys).join(counted, list(keys), "left").na.fill(0)
 
 
+def in_windows(df: DataFrame, at: str, windows: DataFrame, how: str = "inner") -> DataFrame:
+    """``df`` with the window_id of each window (window_id, start, end) that its time ``at`` lies in; the end does not belong."""
+    w = F.broadcast(windows.select("window_id", F.col("start").alias("_start"), F.col("end").alias("_end")))
+    return df.join(w, (F.col(at) >= F.col("_start")) & (F.col(at) < F.col("_end")), how).drop("_start", "_end")
+
+
 def collection_success(jobs: DataFrame, sources: DataFrame, windows: DataFrame, keys: Sequence[str] = ("window_id",)) -> DataFrame:
     """M1: successes among the terminal jobs of active sources.
 
@@ -53,10 +59,11 @@ def final_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> Dat
 def briefing_delay(briefings: DataFrame, windows: DataFrame, keys: Sequence[str] = ("window_id",)) -> DataFrame:
     """M2: the largest delay of the last attempt of each successful report, in minutes, and the median.
 
-    briefings: the window keys, briefing_id, run_attempt, tie (any unique column), delay.
+    briefings: the window keys, briefing_id, run_attempt, tie (any unique column), delay; a last attempt
+    without a delay does not count.
     """
     last = final_rows(briefings, [*keys, "briefing_id"], [F.desc("run_attempt"), F.asc("tie")])
-    counted = last.groupBy(*keys).agg(F.max("delay").alias("longest"), F.median("delay").alias("middle"), F.count("*").alias("n"))
+    counted = last.groupBy(*keys).agg(F.max("delay").alias("longest"), F.median("delay").alias("middle"), F.count("delay").alias("n"))
     row = windows.select(*keys).join(counted, list(keys), "left").na.fill({"n": 0})
     out = result(row, "M2", F.col("longest"), F.coalesce("longest", F.lit(0)), F.lit(1), F.col("n"), keys)
     return out

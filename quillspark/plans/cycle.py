@@ -55,9 +55,52 @@ def written(folder: str) -> Callable[[str, DataFrame], DataFrame]:
     return keep
 
 
+def _columns(df: DataFrame, **kinds: str) -> DataFrame:
+    """The named columns of ``df``; one that it lacks is null."""
+    return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
+
+
+def measure(tables: Mapping[str, DataFrame], new: DataFrame, sent: DataFrame, pool: DataFrame, now: Column) -> DataFrame:
+    """M1 to M6 of each window, over what was there and what this run adds: versions, reports, deliveries.
+
+    All but M1 and M3 are placed by time, so they need windows with start and end.
+    """
+    windows = tables["windows"]
+    out = metrics.collection_success(tables["jobs"], tables["sources"], windows).unionByName(metrics.review_backlog(pool, windows))
+    if not {"start", "end"} <= set(windows.columns):
+        return out
+    kinds = {"briefing_id": "string", "run_attempt": "int", "run_status": "string", "publication_status": "string", "scheduled_for": "timestamp", "generated_at": "timestamp"}
+    made = tables["occurrences"].select("briefing_id", "scheduled_for", now.alias("generated_at"), F.lit("success").alias("run_status"))
+    if "briefings" in tables:
+        earlier = _columns(tables["briefings"], **kinds)
+        last = earlier.groupBy("briefing_id").agg((F.max(F.coalesce("run_attempt", F.lit(0))) + 1).alias("run_attempt"))
+        reports = earlier.unionByName(_columns(made.join(last, "briefing_id", "left").na.fill({"run_attempt": 1}), **kinds))
+    else:
+        reports = _columns(made.withColumn("run_attempt", F.lit(1)), **kinds)
+    dated = metrics.in_windows(reports, "scheduled_for", windows)
+    delay = (F.unix_micros("generated_at") - F.unix_micros("scheduled_for")) / 60e6
+    drafts = dated.where("run_status = 'success'").select("window_id", "briefing_id", F.coalesce("run_attempt", F.lit(0)).alias("run_attempt"), F.col("generated_at").alias("tie"), delay.alias("delay"))
+    out = out.unionByName(metrics.briefing_delay(drafts, windows))
+    kinds = {"delivery_id": "string", "briefing_id": "string", "channel": "string", "attempt_no": "int", "attempted_at": "timestamp", "status": "string"}
+    attempts = _columns(tables["deliveries"], **kinds).unionByName(_columns(sent, **kinds))
+    good = F.coalesce(F.col("status").isin("success", "sent", "dry_run"), F.lit(False))
+    attempts = attempts.withColumn("status", F.when(good, "success").otherwise("failed"))
+    out = out.unionByName(metrics.delivery_failure(metrics.in_windows(attempts, "attempted_at", windows), windows))
+    kinds = {"document_id": "string", "content_hash": "string", "version_no": "int", "document_version_id": "string", "created_at": "timestamp"}
+    kept = _columns(tables["versions"], **kinds).unionByName(_columns(new.withColumn("created_at", now), **kinds)).where("created_at IS NOT NULL")
+    out = out.unionByName(metrics.duplicate_rate(metrics.in_windows(kept, "created_at", windows, "left"), windows))
+    if not {"briefing_items", "item_evidence"} <= set(tables):
+        return out
+    public = dated.where("publication_status IN ('approved', 'published')").select("window_id", "briefing_id").distinct()
+    claims = tables["briefing_items"].where("core_claim").select("briefing_id", "item_id").join(public, "briefing_id")
+    return out.unionByName(metrics.evidence_gap(claims, tables["item_evidence"], windows))
+
+
 def run_cycle(tables: Mapping[str, DataFrame], now: Column, settings: Settings = Settings(), keep: Callable[[str, DataFrame], DataFrame] = lambda _, df: df) -> Cycle:
     """All stages over ``tables``: items, versions, recordings, candidates, occurrences, previous_items,
-    deliveries, jobs, sources, windows.
+    deliveries, jobs, sources, windows; if there are any also evidence, briefings (briefing_id,
+    run_attempt, run_status, publication_status, scheduled_for, generated_at), briefing_items
+    (briefing_id, item_id, core_claim) and item_evidence (item_id).
 
     Candidates of a run are compared with those that were there before it, never with themselves.
     ``keep`` is given each stage's frame and returns what later stages read: ``written`` cuts the plan
@@ -96,10 +139,8 @@ def run_cycle(tables: Mapping[str, DataFrame], now: Column, settings: Settings =
     gated = run.add("gate", gate.item_violations(named), F.get(F.col("violations"), F.lit(0)))
     texts = briefing.render_briefings(briefing.render_items(gated.where("size(violations) = 0")), settings.briefing_max_items)
     planned = delivery.plan(texts.withColumns({"channel": F.lit("dry_run"), "resend_reason": F.lit(None).cast("string"), "resend_approved_by": F.lit(None).cast("string")}), tables["deliveries"])
-    run.add("delivery", planned, F.col("delivery_error"))
-    success = metrics.collection_success(tables["jobs"], tables["sources"], tables["windows"])
-    backlog = metrics.review_backlog(pool, tables["windows"])
-    measured = run.add("metrics", metrics.complete_rows(success.unionByName(backlog), tables["windows"]))
+    planned = run.add("delivery", planned, F.col("delivery_error"))
+    measured = run.add("metrics", metrics.complete_rows(measure(tables, new, delivery.dry_run(planned, now), pool, now), tables["windows"]))
     run.add("report", briefing.render_metrics(measured))
     run.add("alerting", metrics.alerts(measured))
     return run

@@ -46,3 +46,20 @@ def test_a_repeated_cycle_collects_nothing(spark, tmp_path):
     run = cycle.run_cycle(first, F.lit(T0).cast("timestamp"), keep=cycle.written(str(tmp_path / "a")))
     again = cycle.run_cycle(first | {"versions": run.frames["collect"].select("document_id", "content_hash", "version_no")}, F.lit(T0).cast("timestamp"), keep=cycle.written(str(tmp_path / "b")))
     assert again.frames["collect"].count() == 0 and again.frames["route"].count() == 0
+
+
+def test_all_six_metrics_are_measured(spark, tmp_path):
+    given = tables(spark)
+    at = lambda minutes: T0 + timedelta(minutes=minutes)
+    given["windows"] = spark.createDataFrame([("w", T0, at(60)), ("later", at(60), at(120))], "window_id string, start timestamp, end timestamp")
+    given["versions"] = spark.createDataFrame([("d", "h", 1, "v1", at(-90)), ("d", "h", 2, "v2", at(5))], "document_id string, content_hash string, version_no int, document_version_id string, created_at timestamp")
+    given["deliveries"] = spark.createDataFrame([("k1", 1, "x1", "b0", "mail", at(6), "success"), ("k1", 2, "x2", "b0", "mail", at(7), "rejected"), ("k2", 1, "x3", "b0", "chat", at(60), "success")], "idempotency_key string, attempt_no int, delivery_id string, briefing_id string, channel string, attempted_at timestamp, status string")
+    given["briefings"] = spark.createDataFrame([("b0", 1, "success", "draft", at(0), at(5)), ("b0", 2, "success", "published", at(0), at(45)), ("b9", 1, "failed", "draft", at(1), at(99)), ("b8", 1, "success", "draft", at(70), at(80))], "briefing_id string, run_attempt int, run_status string, publication_status string, scheduled_for timestamp, generated_at timestamp")
+    given["briefing_items"] = spark.createDataFrame([("b0", "i1", True), ("b0", "i2", True), ("b0", "i3", False), ("b8", "i4", True)], "briefing_id string, item_id string, core_claim boolean")
+    given["item_evidence"] = spark.createDataFrame([("i1",), ("i1",)], "item_id string")
+    run = cycle.run_cycle(given, F.lit(at(10)).cast("timestamp"), keep=cycle.written(str(tmp_path)))
+    got = {(r.window_id, r.metric_id): (r.value, r.sample_size, r.verdict) for r in run.frames["metrics"].collect()}
+    # three new versions of this run beside v2, and a delivery of this run beside b0's
+    assert [got["w", f"M{i}"] for i in range(1, 7)] == [(1.0, 1, "met"), (45.0, 1, "breached"), (got["w", "M3"][0], got["w", "M3"][1], "met"), (0.5, 2, "breached"), (0.25, 4, "breached"), (0.5, 2, "breached")]
+    assert got["later", "M2"] == (10.0, 1, "met") and got["later", "M4"] == (0.0, 1, "met") and got["later", "M5"][2] == got["later", "M6"][2] == "insufficient_data"
+    assert {r.alert_id for r in run.frames["alerting"].where("severity = 'error'").collect()} == {"w:M2", "w:M4", "w:M5", "w:M6"}
