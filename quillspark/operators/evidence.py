@@ -60,12 +60,18 @@ def contained(quotes: DataFrame, docs: DataFrame, quote: str = "quote", body: st
     """All pairs of quotes and documents that hold them, without comparing each with each.
 
     A quote and a text meet on the quote's longest inner word, one with a space on either side, and each
-    meeting is then confirmed.  Quotes without an inner word need ``contained_by_prefix``.
+    meeting is then confirmed.  Quotes without an inner word meet texts on their first characters, 12 or
+    all they have; without such quotes no text is cut at every place.
     """
     inner = F.filter(F.split(quote, " "), lambda w, i: (w != "") & (i > 0) & (i < F.size(F.split(quote, " ")) - 1))
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    probes = quotes.withColumn("_probe", longest).where("_probe IS NOT NULL")
-    return _confirm(docs.withColumn("_probe", F.explode(F.array_distinct(F.split(body, " ")))), probes, quote, body)
+    probes = quotes.withColumn("_probe", longest)
+    by_word = _confirm(docs.withColumn("_probe", F.explode(F.array_distinct(F.split(body, " ")))), probes.where("_probe IS NOT NULL"), quote, body)
+    short = probes.where(F.col("_probe").isNull() & F.col(quote).isNotNull()).withColumn("_probe", F.substring(quote, 1, 12))
+    sizes = short.select(F.length("_probe").alias("_size")).distinct()
+    starts = F.sequence(F.lit(1), F.greatest(F.length(body) - F.col("_size") + 1, F.lit(1)))
+    places = docs.join(F.broadcast(sizes), F.length(body) >= F.col("_size")).withColumn("_probe", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(body), i, F.col("_size")))))).drop("_size")
+    return by_word.unionByName(_confirm(places, short, quote, body))
 
 
 def contained_by_prefix(quotes: DataFrame, docs: DataFrame, quote: str = "quote", body: str = "text", prefix: int = 12) -> DataFrame:

@@ -106,6 +106,15 @@ def test_containment_equals_brute_force(spark):
 CANDIDATE = "candidate_id string, canonical_name string, strategy_families array<string>, asset_classes array<string>, holding_horizon string, core_hypothesis string, signal_inputs string, entry_logic string, exit_logic string, required_data string, risk_notes string, document_version_ids array<string>"
 
 
+def test_quotes_without_an_inner_word_are_found(spark):
+    quotes = [(0, "abc"), (1, "b"), (2, "one two"), (3, " x"), (4, ""), (5, None), (6, "日本語テキスト検索エンジンの例文"), (7, "a  b"), (8, "in the middle"), (9, "wanting")]
+    bodies = [(0, "xabcx"), (1, "one two three"), (2, "none two"), (3, "全文に日本語テキスト検索エンジンの例文があり"), (4, ""), (5, None), (6, "a  b in the middle x"), (0, "xabcx")]
+    q = spark.createDataFrame(quotes, "q int, quote string")
+    d = spark.createDataFrame(bodies, "d int, text string")
+    want = sorted((i, j) for i, a in quotes for j, b in bodies if a is not None and b is not None and a in b)
+    assert sorted((r.q, r.d) for r in evidence.contained(q, d).collect()) == want
+
+
 def candidates(rng, n, start):
     pick = lambda xs: rng.choice(xs)
     out = []
