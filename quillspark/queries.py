@@ -213,8 +213,8 @@ def relevance_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60))")
 def evidence_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The beginnings of benchmark items as quotes, found in all documents."""
-    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("quote"))
+    """Whole benchmark items as quotes, found in all documents; the SQL still looks for their first 60 characters."""
+    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return evidence.contained(quotes, docs).select("item_id", "doc_id")
 

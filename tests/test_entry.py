@@ -40,3 +40,10 @@ def test_every_query_is_callable_and_every_oracle_has_one():
 
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_evidence_link_wants_whole_items(spark, tmp_path):
+    item = "in the beginning of this item there are many words that a text may hold, but not its very end"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, item[:70]), (2, f"so {item}.")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [tuple(r) for r in queries.QUERIES["evidence_link"](spark, str(tmp_path)).collect()] == [(1, 2)]
