@@ -33,7 +33,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return leaks.without_leaks(spark, docs, table(spark, sf_dir, "benchmark"))
+    return leaks.without_leaks(spark, docs, table(spark, sf_dir, "benchmark"), leaks.Leaks(short=True))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ all of these lie in a band of k + 1 neighbouring diagonals.  So the steps for ev
 3. Each region is aligned with the item in a band of diagonals; the fewest edits and their span stay.
 
 Texts are compared folded: ASCII letters in lower case, each run of other ASCII characters one space.
+Items of under ``least`` folded bytes have no edit budget: if asked for, they match as they are, on word
+edges.
 The index of items goes to every task in blocks of bounded size; a benchmark of more blocks takes as
 many passes over the texts.
 """
@@ -34,8 +36,10 @@ class Leaks:
     rate: float = 0.1
     #: The longest q-gram; an item takes the longest for which the lemma still asks for a hit.
     gram: int = 10
-    #: Items of fewer folded bytes are too short to tell and are left out.
+    #: Items of fewer folded bytes are too short for edits; they are left out, or, with ``short``, match
+    #: as they are between word edges.
     least: int = 20
+    short: bool = False
     #: Folded bytes of items in one block of the index.
     block: int = 4 << 20
     #: Bytes of text that are matched at once.
@@ -68,6 +72,8 @@ class Index:
     grams: np.ndarray
     bound: np.ndarray
     by_q: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
+    #: By length of short items: their hashes, sorted, with ids and bytes.
+    short: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
 
 
 def _eights(data: np.ndarray) -> np.ndarray:
@@ -102,8 +108,9 @@ _TABLE_BITS = 22
 
 
 def build(items: list[tuple[int, str]], p: Leaks) -> Index:
-    """The index of a block of items; those under ``least`` folded bytes are left out."""
+    """The index of a block of items; those under ``least`` folded bytes are apart, or left out."""
     ids, texts = [], []
+    short: dict[int, list[tuple[int, np.ndarray]]] = {}
     for i, text in items:
         raw = np.frombuffer(text.encode(), dtype=np.uint8)
         folded, _, _ = fold(raw, np.array([0, len(raw)]))
@@ -112,6 +119,8 @@ def build(items: list[tuple[int, str]], p: Leaks) -> Index:
         if len(folded) >= p.least:
             ids.append(i)
             texts.append(folded)
+        elif len(folded) and p.short:
+            short.setdefault(len(folded), []).append((i, folded))
     size = np.array([len(t) for t in texts], dtype=np.int64)
     edits = np.floor(size * p.rate).astype(np.int64)
     grams = np.minimum(p.gram, size // (edits + 1))
@@ -128,6 +137,10 @@ def build(items: list[tuple[int, str]], p: Leaks) -> Index:
         table = np.zeros(1 << _TABLE_BITS, dtype=bool)
         table[h >> np.uint64(64 - _TABLE_BITS)] = True
         index.by_q[q] = (h[order], item[order], place[order], table)
+    for n, items_ in short.items():
+        h = np.concatenate([_hash_grams(t, n) for _, t in items_])
+        order = np.argsort(h, kind="stable")
+        index.short[n] = (h[order], np.array([i for i, _ in items_])[order], np.stack([t for _, t in items_])[order])
     return index
 
 
@@ -187,11 +200,43 @@ def _regions(pos: np.ndarray, inside: np.ndarray, size: int, k: int, q: int, bou
     yield from ((lo, hi) for lo, hi in merged)
 
 
+def _find_short(data: np.ndarray, edges: np.ndarray, eights: np.ndarray, index: Index) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item, start, end) in folded bytes of the first place where a text holds a short item between word edges."""
+    edge = np.ones(len(data) + 1, dtype=bool)
+    edge[:-1] = data == 0x20
+    ends = edge.copy()
+    ends[edges] = True
+    begins = np.concatenate(([True], edge[:-1]))
+    begins[edges] = True
+    starts = np.flatnonzero(begins[:-1] & ~edge[:-1])
+    for n, (hashes, ids, texts) in index.short.items():
+        pos = starts[starts + n <= len(data)]
+        pos = pos[ends[pos + n]]
+        row = np.searchsorted(edges, pos, side="right") - 1
+        ok = pos + n <= edges[row + 1]
+        pos, row = pos[ok], row[ok]
+        if not len(pos):
+            continue
+        h = _hash_grams(data, n, eights)[pos]
+        lo = np.searchsorted(hashes, h, side="left")
+        count = np.searchsorted(hashes, h, side="right") - lo
+        total = np.cumsum(count)
+        item = np.arange(total[-1]) + np.repeat(lo - (total - count), count)
+        pos, row = np.repeat(pos, count), np.repeat(row, count)
+        same = (data[pos[:, None] + np.arange(n)] == texts[item]).all(axis=1)
+        pos, row, item = pos[same], row[same], item[same]
+        _, first = np.unique(row * len(ids) + item, return_index=True)
+        for k in first.tolist():
+            yield int(row[k]), int(ids[item[k]]), int(pos[k]), int(pos[k]) + n
+
+
 def find(column: pa.Array, index: Index) -> Iterator[tuple[int, int, int, int, int]]:
     """(row, item, edits, byte start, byte end) of the best match of each item that a text holds."""
     raw, offsets = W.text_buffers(column)
     data, edges, place = fold(raw, offsets)
     eights = _eights(data)
+    for r, item_id, lo, hi in _find_short(data, edges, eights, index) if index.short else ():
+        yield r, item_id, 0, int(place[lo]) - int(offsets[r]), int(place[hi - 1]) + 1 - int(offsets[r])
     for q, (grams, item, item_place, table) in index.by_q.items():
         h = _hash_grams(data, q, eights)
         pos = np.flatnonzero(table[h >> np.uint64(64 - _TABLE_BITS)])
@@ -277,7 +322,7 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, p: Leaks =
     """(doc_id, item_id, edits, start, end): every document that holds an item, once for each.
 
     start and end are bytes of the text in UTF-8, of the match with the fewest edits.  Null texts and
-    ids hold nothing; items that are null, without id, or under ``least`` folded bytes match nothing.
+    ids hold nothing; items that are null, without id, without a folded byte, or, unless ``short``, under ``least`` match nothing.
     Repeated rows of documents repeat their matches; of items that share an id each text counts, and
     their rows repeat.  Empty tables give an empty result.  Other columns are not read.
     """

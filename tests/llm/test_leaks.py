@@ -99,3 +99,16 @@ def test_fold_places():
     data, edges, place = L.fold(raw, offsets)
     assert [bytes(data[a:b]) for a, b in zip(edges[:-1], edges[1:])] == [b"a b \xc3\x89 ", b"", b"", b"x"]
     assert bytes(raw[place])[:1] == b"A"
+
+
+def test_short_items_match_exactly_on_word_edges(spark):
+    import re
+
+    items = [(1, "Red fox"), (2, "fox"), (3, "a"), (4, "red  FOX!"), (5, "!?"), (6, "seventeen letters"), (7, "nineteen letters xy"), (8, "日本"), (8, "fox")]
+    docs = [(1, "the red-fox ran"), (2, "foxes are reddish"), (3, "A fox"), (4, "x" * 50 + " Seventeen, letters"), (5, "seventeen lettera nineteen letters xy"), (6, "日本 fox. fox"), (7, "seventeen"), (8, "letters"), (9, ""), (10, "nineteen Xetters xy"), (11, " fox"), (12, "red"), (13, "fox")]
+    fold = lambda t: re.sub("[^a-z0-9\x80-\U0010ffff]+", " ", t.lower()).strip()
+    want = sorted((d, i) for d, t in docs for i, x in items if fold(x) and f" {fold(x)} " in f" {fold(t)} ")
+    got = L.leaks(spark, frame(spark, docs), frame(spark, items, key="item_id"), L.Leaks(short=True)).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == want and all(r.edits == 0 for r in got)
+    text = dict(docs)
+    assert all(fold(text[r.doc_id].encode()[r.start : r.end].decode()) in {fold(x) for i, x in items if i == r.item_id} for r in got)
