@@ -2,7 +2,8 @@
 
 The links of the chain are categories, the last one toxicity as ``labels.toxic`` marks it.  The
 categories before it are kinds of abuse, weakly labelled: a toxic training row belongs to a kind if
-it holds one of the kind's seed words.  Each link is a logistic model over the presence of selected
+it holds one of the kind's seed words; one that holds no seed goes by its selected features to the
+kind whose rows are most like it, and kinds without rows are first made of such rows.  Each link is a logistic model over the presence of selected
 words and word beginnings and over the probabilities of all links before it.  In training these
 probabilities are out-of-fold predictions, so no link learns from scores that saw its own row.
 """
@@ -147,6 +148,42 @@ def _logistic(row: np.ndarray, place: np.ndarray, before: np.ndarray, y: np.ndar
     return w
 
 
+def derived_kinds(row: np.ndarray, place: np.ndarray, toxic: np.ndarray, kinds: np.ndarray, count: int, size: int, rounds: int = 10) -> np.ndarray:
+    """``kinds``, bits for each row, with one of ``count`` kinds for each toxic row that has features but no kind.
+
+    A kind without rows starts from the rows that share the most frequent feature of those not yet
+    taken; then rows go to the kind with the most similar mean, and means are taken anew.
+    """
+    out = kinds.copy()
+    bad = np.flatnonzero(toxic)
+    x = np.zeros((len(bad), size), dtype=np.float32)
+    of = np.full(len(toxic), -1)
+    of[bad] = np.arange(len(bad))
+    here = of[row] >= 0
+    x[of[row[here]], place[here]] = 1
+    x /= np.maximum(np.sqrt(x.sum(axis=1, keepdims=True)), 1)
+    free = (kinds[bad] == 0) & x.any(axis=1)
+    if not free.any():
+        return out
+    member = (kinds[bad, None] >> np.arange(count) & 1).astype(bool)
+    rest = free.copy()
+    for k in np.flatnonzero(~member.any(axis=0)).tolist():
+        if rest.any():
+            member[:, k] = rest & (x[:, np.argmax((x[rest] > 0).sum(axis=0))] > 0)
+            rest &= ~member[:, k]
+    for _ in range(rounds):
+        mean = member.T.astype(np.float32) @ x
+        mean /= np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-9)
+        best = np.argmax(x[free] @ mean.T, axis=1)
+        new = member.copy()
+        new[free] = best[:, None] == np.arange(count)
+        if (new == member).all():
+            break
+        member = new
+    out[bad[free]] = member[free] @ (1 << np.arange(count))
+    return out
+
+
 def _sample_places(chain):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,6 +217,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, p: Toxicity) ->
     sizes = [len(x) for x in found["places"]]
     row = np.repeat(np.arange(len(found)), sizes)
     place = np.concatenate([np.asarray(x, dtype=np.int64) for x in found["places"]]) if len(found) else np.zeros(0, np.int64)
+    kinds = derived_kinds(row, place, toxic, kinds, len(SEEDS), len(features))
     before = np.zeros((len(found), 0))
     every = np.ones(len(found), dtype=bool)
     for k in range(len(chain.names)):

@@ -62,3 +62,27 @@ def test_links_use_earlier_probabilities():
     y = (before[:, 0] > 0.5).astype(float)
     w = X._logistic(np.zeros(0, int), np.zeros(0, int), before, y, np.ones(400, bool), 0, X.Toxicity(penalty=0.01))
     assert w[0] > 2
+
+
+def test_kinds_of_words_that_are_no_seeds(spark):
+    rng = random.Random(7)
+    groups = [("zorkel", "blargus"), ("snivit", "quemmel"), ("wobbrin", "fnarkle")]
+    rows, labels, group = [], [], {}
+    for i in range(900):
+        w = prose(rng, rng.randrange(20, 100)).split()
+        if i % 3 == 0:
+            group[i] = rng.randrange(3)
+            for word in groups[group[i]]:
+                w.insert(rng.randrange(len(w)), word)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 3 == 0)))
+    out = X.score(spark, frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"), F.col("doc_id") % 5 == 0).collect()
+    best = {}
+    for r in out:
+        p = [r[k] for k in X.SEEDS]
+        if r.doc_id in group:
+            best.setdefault(group[r.doc_id], set()).add(p.index(max(p)))
+            assert max(p) > 0.5
+        else:
+            assert max(p) < 0.5
+    assert sorted(map(len, best.values())) == [1, 1, 1] and set.union(*best.values()) == {0, 1, 2}
