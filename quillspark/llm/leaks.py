@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import words as W
+from quillspark.llm.store import unused
 
 
 @dataclass(frozen=True)
@@ -338,6 +339,11 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, p: Leaks =
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, p: Leaks = Leaks()) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with all their columns."""
-    gone = leaks(spark, docs, benchmark, p).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` that hold no benchmark item, with all their columns, whatever their names.
+
+    Null and empty texts hold nothing and stay, and so do rows without doc_id.  Repeated rows of one
+    doc_id stay or go together.  An empty table gives an empty one; without items all rows stay.
+    """
+    name = unused("leak_id", docs)
+    gone = leaks(spark, docs, benchmark, p).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import words as W
-from quillspark.llm.store import Scratch, small
+from quillspark.llm.store import Scratch, small, unused
 
 
 @dataclass(frozen=True)
@@ -247,11 +247,19 @@ def dedup_passages(spark: SparkSession, docs: DataFrame, p: SuffixDedup = Suffix
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, p: SuffixDedup = SuffixDedup()) -> DataFrame:
-    """``docs`` with repeated passages cut out of the texts; n_chars, where present, follows."""
+    """``docs`` with repeated passages cut out of the texts; n_chars, where present, follows.
+
+    Every row stays, null, empty and short texts and rows without doc_id as they are; a text that is all
+    passage becomes empty.  Of equal passages that of the smallest doc_id stays; repeated rows of one
+    doc_id are cut alike.  Where words are cut the rest is joined by single spaces.  All columns are
+    returned, whatever their names; an empty table gives an empty one.
+    """
     scratch = Scratch(spark, "cut")
-    made = scratch.cut(dedup_passages(spark, docs, p).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("kept_text").alias("_kept")).dropDuplicates(["_id"]), "changed")
-    out = docs.join(made, F.col("doc_id") == F.col("_id"), "left")
-    new = {"text": F.coalesce("_kept", "text")}
+    name, kept = unused("cut_id", docs), unused("cut_text", docs)
+    made = dedup_passages(spark, docs, p).where("n_removed > 0").select(F.col("doc_id").alias(name), F.col("kept_text").alias(kept)).dropDuplicates([name])
+    made = scratch.cut(made, "changed")
+    out = docs.join(made, F.col("doc_id").cast("long") == F.col(name), "left")
+    new = {"text": F.coalesce(kept, "text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_id").isNotNull(), F.length("_kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return out.withColumns(new).select(*docs.columns)
+        new["n_chars"] = F.when(F.col(name).isNotNull(), F.length(kept)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.withColumns(new).select(*[f"`{c}`" for c in docs.columns])

@@ -8,7 +8,7 @@ import re
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Extra columns whose names operators use inside.
-CLASH = ("rep", "bucket", "comp", "keys", "node", "root", "mark", "starts", "runs", "part", "salt", "word", "cls", "row", "rank", "score", "piece", "length", "start", "held_out", "component_id", "block", "other", "sha", "x", "y", "a", "b", "n", "first", "many")
+CLASH = ("rep", "bucket", "comp", "keys", "node", "root", "mark", "starts", "runs", "part", "salt", "word", "cls", "row", "rank", "score", "piece", "length", "start", "held_out", "component_id", "block", "other", "sha", "x", "y", "a", "b", "n", "first", "many", "gone", "mark_", "leak_id", "cut_id", "cut_text", "kept", "_gone", "_id", "_kept", "m", "w", "own", "shared", "at", "depth", "total", "both", "shingles", "s", "side", "mine", "plan", "extra")
 
 
 def words(text: str | None, fold: bool = False) -> list[bytes]:

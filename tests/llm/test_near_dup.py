@@ -84,6 +84,42 @@ def test_keep_one_keeps_columns(spark):
     assert 6 not in kept and 5 in kept and 12 not in kept and kept.count(None) == 2
 
 
+def test_keep_one_folds_repeated_rows(spark):
+    text = prose(random.Random(7), 30)
+    rows = [(1, text), (1, text), (2, text), (3, ""), (3, ""), (None, text), (None, text), (None, None), (None, None), (4, "a b"), (4, "a b")]
+    out = N.keep_one(spark, frame(spark, rows))
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, text), (3, ""), (3, ""), (None, text), (None, None), (None, None), (4, "a b")], key=str)
+    assert N.keep_one(spark, frame(spark, [])).count() == 0
+
+
+def test_blocks_of_one_component_do_not_meet(spark):
+    p = N.NearDup(block=4)
+    rows = [(1, i, 100, 10) for i in range(20)] + [(1, 50 + i, 50 + i, 10) for i in range(3)]
+    here = spark.createDataFrame(rows, "bucket long, rep long, comp long, n long")
+    got_ = N._blocks(here, p, Scratch(spark, "t")).collect()
+    met = collections.defaultdict(set)
+    for r in got_:
+        met[r.i, r.j].add(r.rep)
+    pairs = {frozenset((a, b)) for reps in met.values() for a in reps for b in reps if a != b}
+    assert all(frozenset((a, b)) in pairs for a in range(20) for b in range(50, 53)) and all(frozenset((a, b)) in pairs for a in range(50, 53) for b in range(50, 53) if a != b)
+    assert max(sum(r.rep == x for r in got_) for x in range(20)) == 1
+
+
+def test_recall_just_above_the_threshold(spark):
+    rng, rows, want = random.Random(9), [], 0
+    for i in range(600):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(124)]
+        other = list(base)
+        for place in (30, 90):
+            other[place] = f"x{i}"  # ten of 120 shingles of each change: 110 / 130 = 0.846, or one edit: 115 / 125
+        if i % 2:
+            other[90] = base[90]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+        want += i % 2
+    out = got(N.near_duplicates(spark, frame(spark, rows)))
+    assert sum(out[2 * i + 1][1] == 2 * i for i in range(600)) == want
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(30)] + [(100, x) for x in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(7, 7), (3, 2)]
