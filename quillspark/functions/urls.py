@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
-from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit, urlunsplit
+from urllib.parse import parse_qsl, quote, urlencode, urljoin, urlsplit, urlunsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 #: Ports that a scheme implies, and names of tracking parameters (besides ``utm_*``).
 DEFAULT_PORTS = {"ftp": 21, "http": 80, "https": 443, "ws": 80, "wss": 443}
 TRACKING = ("_ga", "_gl", "dclid", "fbclid", "gclid", "igshid", "li_fat_id", "mc_cid", "mc_eid", "msclkid", "s_cid", "ttclid", "twclid", "yclid")
+#: Fixed value: signs that a path holds as they are; letters beyond ASCII, blanks and the rest are escaped.
+PATH_SIGNS = "/%:@!$&'()*+,;=-._~%"
 
 
 def fold_percent(text: str) -> str:
@@ -57,7 +59,7 @@ def canonical(url: str | None) -> str | None:
     user, mark, _ = at.netloc.rpartition("@")
     place = user + mark + host + ("" if port in (None, DEFAULT_PORTS.get(at.scheme)) else f":{port}")
     pairs = sorted((k, v) for k, v in parse_qsl(at.query, keep_blank_values=True) if not (k.lower().startswith("utm_") or k.lower() in TRACKING))
-    return urlunsplit((at.scheme, place, fold_path(at.path), urlencode(pairs), ""))
+    return urlunsplit((at.scheme, place, quote(fold_path(at.path), safe=PATH_SIGNS), urlencode(pairs), ""))
 
 
 @F.pandas_udf(T.StringType())
