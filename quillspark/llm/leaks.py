@@ -1,18 +1,21 @@
 """Benchmark decontamination by the q-gram lemma.
 
 A document holds a benchmark item if one of its passages is within ``rate`` of the item's length in
-edits.  If m letters meet a passage with k edits, they share at least m + 1 - q (k + 1) q-grams, and
-all of these lie in a band of k + 1 neighbouring diagonals.  So the steps for every item are:
-
-1. Its q-grams are looked up in the whole of each text; a hit has a diagonal, its place in the text
-   less its place in the item.
-2. Diagonals are cut into bands of 2 (k + 1) that overlap by half, so any k + 1 neighbours lie in one.
-   A band keeps the regions whose hits within the length of a passage reach the bound.
-3. Each region is aligned with the item in a band of diagonals; the fewest edits and their span stay.
-
-Texts are compared folded: ASCII letters in lower case, each run of other ASCII characters one space.
-Items of under ``least`` folded bytes have no edit budget: if asked for, they match as they are, on word
-edges.
+edits, a character each.  If m characters meet a passage with k edits, they share at least
+m + 1 - q (k + 1) q-grams, and all of these lie in a band of k + 1 neighbouring diagonals.  So:
+
+1. The q-grams of the whole of each text are looked up in an index of all items.  Places that share a
+   q-gram with an item are counted, not paired; a text without enough of them does not hold the item.
+2. Of what is left, places within the length of a passage must reach the bound.  There a hit has a
+   diagonal, its place in the text less its place in the item.  Diagonals are cut into bands of
+   2 (k + 1) that overlap by half, so any k + 1 neighbours lie in one; bands whose hits within the length
+   of a passage reach the bound are kept.  Where q-grams repeat so often that hits would outnumber
+   ``hits``, all diagonals of the place are kept instead, which loses nothing.
+3. The item is aligned within the kept diagonals alone; the fewest edits and their span stay.
+
+Texts are compared folded: ASCII letters in lower case, each run of other ASCII characters one space,
+characters beyond ASCII as they are.  Items of under ``least`` folded characters have no edit budget: if
+asked for, they match as they are, on word edges.
 The index of items goes to every task in blocks of bounded size; a benchmark of more blocks takes as
 many passes over the texts.
 """
@@ -37,43 +40,76 @@ class Leaks:
     rate: float = 0.1
     #: The longest q-gram; an item takes the longest for which the lemma still asks for a hit.
     gram: int = 10
-    #: Items of fewer folded bytes are too short for edits; they are left out, or, with ``short``, match
+    #: Items of fewer folded characters are too short for edits; they are left out, or, with ``short``, match
     #: as they are between word edges.
     least: int = 20
     short: bool = False
-    #: Folded bytes of items in one block of the index.
+    #: Bytes of items in one block of the index.
     block: int = 4 << 20
+    #: Hits of a text and an item that are held at once, and diagonals that are aligned at once.
+    hits: int = 1 << 20
+    diagonals: int = 1 << 14
     #: Bytes of text that are matched at once.
     chunk: int = 2 << 20
 
 
-_FOLD = W.LOWER.copy()
+_FOLD = W.LOWER[:128].copy()
 _FOLD[[b for b in range(128) if not chr(b).isalnum()]] = 0x20
 
 
-def fold(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Folded bytes of texts, each text's edges in them, and the place each came from."""
-    out = _FOLD[data]
-    space = out == 0x20
+@dataclass
+class Folded:
+    """Folded characters of texts, one after the other.
+
+    ``edges`` are those of each text; ``place`` and ``width`` are where a character came from and its
+    bytes there; ``small`` is a byte for each character, the same one for the same character.
+    """
+
+    points: np.ndarray
+    edges: np.ndarray
+    place: np.ndarray
+    width: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.small = (self.points ^ (self.points >> np.uint32(7)) ^ (self.points >> np.uint32(13))).astype(np.uint8)
+
+
+def fold(data: np.ndarray, offsets: np.ndarray) -> Folded:
+    """The UTF-8 bytes of texts, folded."""
+    starts = np.flatnonzero((data & 0xC0) != 0x80)
+    width = np.diff(np.append(starts, len(data)))
+    points = data[starts].astype(np.uint32)
+    ascii_ = points < 128
+    points[ascii_] = _FOLD[points[ascii_]]
+    many = np.flatnonzero(width > 1)
+    if len(many):
+        at, n = starts[many], width[many]
+        value = points[many] & (np.uint32(0xFF) >> (n + 1).astype(np.uint32))
+        for k in (1, 2, 3):
+            here = n > k
+            value[here] = value[here] << np.uint32(6) | (data[at[here] + k] & 0x3F)
+        points[many] = value
+    space = points == 0x20
     keep = ~space
     keep[1:] |= ~space[:-1]
-    row_start = offsets[:-1][offsets[:-1] < len(data)]
-    keep[row_start] = ~space[row_start]
-    place = np.flatnonzero(keep)
-    return out[place], np.searchsorted(place, offsets), place
+    first = np.searchsorted(starts, offsets)
+    begin = first[:-1][first[:-1] < len(points)]
+    keep[begin] = ~space[begin]
+    kept = np.flatnonzero(keep)
+    return Folded(points[kept], np.searchsorted(kept, first), starts[kept], width[kept])
 
 
 @dataclass
 class Index:
-    """Q-grams of a block of items, sorted, with the item and place of each."""
+    """Items of a block, and for each length of q-grams: sorted keys, the items that hold each, and a bitmap of keys."""
 
     ids: list[int]
-    texts: list[np.ndarray]
+    texts: list[Folded]
     edits: np.ndarray
     grams: np.ndarray
     bound: np.ndarray
     by_q: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
-    #: By length of short items: their hashes, sorted, with ids and bytes.
+    #: By length of short items: their hashes, sorted, with ids and characters.
     short: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
 
 
@@ -108,69 +144,77 @@ def _hash_grams(data: np.ndarray, q: int, eights: np.ndarray | None = None) -> n
 _TABLE_BITS = 22
 
 
+def _item(text: str) -> Folded:
+    raw = np.frombuffer(text.encode(), dtype=np.uint8)
+    out = fold(raw, np.array([0, len(raw)]))
+    n = len(out.points)
+    while n and out.points[n - 1] == 0x20:
+        n -= 1
+    return Folded(out.points[:n], np.array([0, n]), out.place[:n], out.width[:n])
+
+
 def build(items: list[tuple[int, str]], p: Leaks) -> Index:
-    """The index of a block of items; those under ``least`` folded bytes are apart, or left out."""
+    """The index of a block of items; those under ``least`` folded characters are apart, or left out."""
     ids, texts = [], []
-    short: dict[int, list[tuple[int, np.ndarray]]] = {}
+    short: dict[int, list[tuple[int, Folded]]] = {}
     for i, text in items:
-        raw = np.frombuffer(text.encode(), dtype=np.uint8)
-        folded, _, _ = fold(raw, np.array([0, len(raw)]))
-        while len(folded) and folded[-1] == 0x20:
-            folded = folded[:-1]
-        if len(folded) >= p.least:
+        folded = _item(text)
+        if len(folded.points) >= p.least:
             ids.append(i)
             texts.append(folded)
-        elif len(folded) and p.short:
-            short.setdefault(len(folded), []).append((i, folded))
-    size = np.array([len(t) for t in texts], dtype=np.int64)
+        elif len(folded.points) and p.short:
+            short.setdefault(len(folded.points), []).append((i, folded))
+    size = np.array([len(t.points) for t in texts], dtype=np.int64)
     edits = np.floor(size * p.rate).astype(np.int64)
     grams = np.minimum(p.gram, size // (edits + 1))
     index = Index(ids, texts, edits, grams, size + 1 - grams * (edits + 1))
     for q in np.unique(grams).tolist():
-        h, item, place = [], [], []
-        for k in np.flatnonzero(grams == q).tolist():
-            g = _hash_grams(texts[k], q)
-            h.append(g)
-            item.append(np.full(len(g), k))
-            place.append(np.arange(len(g)))
-        h, item, place = np.concatenate(h), np.concatenate(item), np.concatenate(place)
+        mine = np.flatnonzero(grams == q)
+        each = [np.unique(_hash_grams(texts[k].small, q)) for k in mine.tolist()]
+        h, item = np.concatenate(each), np.repeat(mine, [len(g) for g in each])
         order = np.argsort(h, kind="stable")
+        h, item = h[order], item[order]
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         table = np.zeros(1 << _TABLE_BITS, dtype=bool)
         table[h >> np.uint64(64 - _TABLE_BITS)] = True
-        index.by_q[q] = (h[order], item[order], place[order], table)
-    for n, items_ in short.items():
-        h = np.concatenate([_hash_grams(t, n) for _, t in items_])
+        index.by_q[q] = (h[first], np.append(first, len(h)), item.astype(np.int32), table)
+    for n, found in short.items():
+        h = np.concatenate([_hash_grams(t.small, n) for _, t in found])
         order = np.argsort(h, kind="stable")
-        index.short[n] = (h[order], np.array([i for i, _ in items_])[order], np.stack([t for _, t in items_])[order])
+        index.short[n] = (h[order], np.array([i for i, _ in found])[order], np.stack([t.points for _, t in found])[order])
     return index
 
 
-def align(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int]:
-    """Fewest edits of ``item`` against any part of ``text``, and that part's edges.
+def align(item: np.ndarray, text: np.ndarray, most: int, first: int | None = None, last: int | None = None) -> tuple[int, int, int]:
+    """Fewest edits of ``item`` against any part of ``text`` within diagonals ``first`` to ``last``, and that part's edges.
 
-    The parts start and end freely; a cost over ``most`` is given as ``most + 1``.  A row of the table
-    is one letter of the item, and numpy runs along the text, so insertions are a running minimum.
+    The parts start and end freely; a cost over ``most`` is given as ``most + 1``.  A row of the table is
+    one character of the item and holds the band's diagonals, so insertions are a running minimum.
+    Characters before and after the text differ from all others, which costs as much as leaving the
+    item's out.
     """
-    n = len(text)
-    cost, begin = np.zeros(n + 1, dtype=np.int64), np.arange(n + 1)
-    step = np.arange(n + 1)
-    for k, letter in enumerate(item.tolist()):
-        change = cost[:-1] + (text != letter)
-        skip = cost[1:] + 1
+    m, n = len(item), len(text)
+    first, last = max(-m, -m if first is None else first), min(n, n if last is None else last)
+    step = np.arange(last - first + 1, dtype=np.int64)
+    around = np.full(n + 2 * m + 1, 0xFFFFFFFF, dtype=np.uint32)
+    around[m : m + n] = text
+    cost, begin = np.zeros(len(step), dtype=np.int64), step + first
+    for i, letter in enumerate(item.tolist()):
+        change = cost + (around[m + first + i : m + last + i + 1] != letter)
+        skip = np.append(cost[1:], most + m) + 1
         take = change <= skip
-        new = np.concatenate(([k + 1], np.where(take, change, skip)))
-        source = np.concatenate(([0], np.where(take, begin[:-1], begin[1:])))
+        new, source = np.where(take, change, skip), np.where(take, begin, np.append(begin[1:], n))
         low = np.minimum.accumulate(new - step)
         at = np.maximum.accumulate(np.where(new - step == low, step, 0))
         cost, begin = low + step, source[at]
         if cost.min() > most:
             return most + 1, 0, 0
     end = int(np.argmin(cost))
-    return int(min(cost[end], most + 1)), int(begin[end]), end
+    return int(min(cost[end], most + 1)), int(np.clip(begin[end], 0, n)), int(np.clip(first + end + m, 0, n))
 
 
-def _regions(pos: np.ndarray, inside: np.ndarray, size: int, k: int, q: int, bound: int) -> Iterator[tuple[int, int]]:
-    """Spans of text, to be aligned, where a band of diagonals has ``bound`` hits within a passage.
+def _bands(pos: np.ndarray, inside: np.ndarray, size: int, k: int, q: int, bound: int, widest: int) -> Iterator[tuple[int, int]]:
+    """Diagonals, first and last, of neighbouring bands that have ``bound`` hits within a passage.
 
     Q-grams that edits leave alone have places of their own in the text and in the item, so a place
     counts once, however many hits it has.
@@ -187,108 +231,147 @@ def _regions(pos: np.ndarray, inside: np.ndarray, size: int, k: int, q: int, bou
         return
     # hits i and i + bound - 1 of one band, no further apart than in a passage
     near = (one[bound - 1 :] == one[: len(one) - bound + 1]) & (place[bound - 1 :] - place[: len(one) - bound + 1] <= size + k - q)
-    merged: list[list[int]] = []
+    now: tuple[int, int] | None = None
     for b in np.unique(one[: len(near)][near]).tolist():
         lo, hi = np.searchsorted(band, [b, b + 1])
         if len(np.unique(item[lo:hi])) < bound:
             continue
-        # the diagonals of band b are b * half up to (b + 2) * half; the passage starts near them
-        first, last = b * half - k, (b + 2) * half + size + k
-        if merged and first <= merged[-1][1] and last - merged[-1][0] <= 4 * (size + 2 * half + 2 * k):
-            merged[-1][1] = last
+        # band b has diagonals b * half up to (b + 2) * half; edits lead at most k away from them
+        first, last = b * half - k, (b + 2) * half + k
+        if now and first <= now[1] and last - now[0] <= widest:
+            now = (now[0], last)
         else:
-            merged.append([first, last])
-    yield from ((lo, hi) for lo, hi in merged)
-
-
-def _find_short(data: np.ndarray, edges: np.ndarray, eights: np.ndarray, index: Index) -> Iterator[tuple[int, int, int, int]]:
-    """(row, item, start, end) in folded bytes of the first place where a text holds a short item between word edges."""
-    edge = np.ones(len(data) + 1, dtype=bool)
-    edge[:-1] = data == 0x20
+            if now:
+                yield now
+            now = (first, last)
+    if now:
+        yield now
+
+
+def _places(points: np.ndarray, hashes: np.ndarray, goal: Folded, q: int, k: int, bound: int, p: Leaks) -> Iterator[tuple[int, int]]:
+    """Diagonals of a text, first and last, in which the item is to be aligned."""
+    size = len(goal.points)
+    grams = _hash_grams(goal.small, q)
+    order = np.argsort(grams, kind="stable")
+    grams = grams[order]
+    lo = np.searchsorted(grams, hashes, side="left")
+    count = np.searchsorted(grams, hashes, side="right") - lo
+    pos = np.flatnonzero(count)
+    if len(pos) < bound:
+        return
+    near = np.flatnonzero(pos[bound - 1 :] - pos[: len(pos) - bound + 1] <= size + k - q)
+    if not len(near):
+        return
+    # neighbouring windows that hold enough places are one area
+    new = np.concatenate(([True], pos[near[1:]] > pos[near[:-1] + bound - 1]))
+    ends = near[np.append(np.flatnonzero(new)[1:] - 1, len(near) - 1)] + bound
+    for a, b in zip(near[new].tolist(), ends.tolist(), strict=True):
+        at, n = pos[a:b], count[pos[a:b]]
+        if (total := int(n.sum())) > p.hits:
+            first, last = int(at[0]) - size, int(at[-1]) + k
+            for d in range(first, last + 1, p.diagonals):
+                yield d - k, d + p.diagonals + k
+            continue
+        entry = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[at], n)
+        yield from _bands(np.repeat(at, n), order[entry], size, k, q, bound, p.diagonals)
+
+
+def _best(points: np.ndarray, hashes: np.ndarray, goal: Folded, q: int, k: int, bound: int, p: Leaks) -> tuple[int, int, int] | None:
+    """(edits, start, end) of the item's best match in a text, or None."""
+    raw, wanted = points.tobytes(), goal.points.tobytes()
+    at = raw.find(wanted)
+    while at >= 0 and at % 4:
+        at = raw.find(wanted, at + 1)
+    if at >= 0:
+        return 0, at // 4, at // 4 + len(goal.points)
+    best = None
+    for first, last in _places(points, hashes, goal, q, k, bound, p):
+        # the text that these diagonals touch, so that a long text is not copied for each
+        lo, hi = max(0, first), min(len(points), last + len(goal.points) + 1)
+        found = align(goal.points, points[lo:hi], k, first - lo, last - lo)
+        if found[0] <= k and (best is None or found[0] < best[0]):
+            best = (found[0], lo + found[1], lo + found[2])
+    return best
+
+
+def _find_short(t: Folded, eights: np.ndarray, index: Index) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item, start, end) in folded characters of the first place where a text holds a short item between word edges."""
+    points, edges = t.points, t.edges
+    edge = np.ones(len(points) + 1, dtype=bool)
+    edge[:-1] = points == 0x20
     ends = edge.copy()
     ends[edges] = True
     begins = np.concatenate(([True], edge[:-1]))
     begins[edges] = True
     starts = np.flatnonzero(begins[:-1] & ~edge[:-1])
     for n, (hashes, ids, texts) in index.short.items():
-        pos = starts[starts + n <= len(data)]
+        pos = starts[starts + n <= len(points)]
         pos = pos[ends[pos + n]]
         row = np.searchsorted(edges, pos, side="right") - 1
         ok = pos + n <= edges[row + 1]
         pos, row = pos[ok], row[ok]
         if not len(pos):
             continue
-        h = _hash_grams(data, n, eights)[pos]
+        h = _hash_grams(t.small, n, eights)[pos]
         lo = np.searchsorted(hashes, h, side="left")
         count = np.searchsorted(hashes, h, side="right") - lo
         total = np.cumsum(count)
         item = np.arange(total[-1]) + np.repeat(lo - (total - count), count)
         pos, row = np.repeat(pos, count), np.repeat(row, count)
-        same = (data[pos[:, None] + np.arange(n)] == texts[item]).all(axis=1)
+        same = (points[pos[:, None] + np.arange(n)] == texts[item]).all(axis=1)
         pos, row, item = pos[same], row[same], item[same]
         _, first = np.unique(row * len(ids) + item, return_index=True)
         for k in first.tolist():
             yield int(row[k]), int(ids[item[k]]), int(pos[k]), int(pos[k]) + n
 
 
-def find(column: pa.Array, index: Index) -> Iterator[tuple[int, int, int, int, int]]:
+def _pairs(row: np.ndarray, key: np.ndarray, first: np.ndarray, items: np.ndarray, index: Index, most: int) -> Iterator[tuple[int, int]]:
+    """(row, item) of texts with as many places that share a q-gram with the item as its bound asks.
+
+    Places are paired with items ``most`` at a time and counted at once.
+    """
+    count = first[key + 1] - first[key]
+    total = np.cumsum(count)
+    pairs, counts, at = [], [], 0
+    while at < len(key):
+        stop = max(at + 1, int(np.searchsorted(total, total[at] - count[at] + most, side="right")))
+        n = count[at:stop]
+        entry = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[key[at:stop]], n)
+        pair, many = np.unique(np.repeat(row[at:stop], n) * len(index.ids) + items[entry], return_counts=True)
+        pairs.append(pair)
+        counts.append(many)
+        at = stop
+    pair, inverse = np.unique(np.concatenate(pairs), return_inverse=True)
+    places = np.bincount(inverse, np.concatenate(counts))
+    for x in pair[places >= index.bound[pair % len(index.ids)]].tolist():
+        yield divmod(x, len(index.ids))
+
+
+def find(column: pa.Array, index: Index, p: Leaks) -> Iterator[tuple[int, int, int, int, int]]:
     """(row, item, edits, byte start, byte end) of the best match of each item that a text holds."""
     raw, offsets = W.text_buffers(column)
-    data, edges, place = fold(raw, offsets)
-    eights = _eights(data)
-    for r, item_id, lo, hi in _find_short(data, edges, eights, index) if index.short else ():
-        yield r, item_id, 0, int(place[lo]) - int(offsets[r]), int(place[hi - 1]) + 1 - int(offsets[r])
-    for q, (grams, item, item_place, table) in index.by_q.items():
-        h = _hash_grams(data, q, eights)
+    t = fold(raw, offsets)
+    eights = _eights(t.small)
+
+    def span(r: int, start: int, end: int) -> tuple[int, int]:
+        if end <= start:
+            return 0, 0
+        return int(t.place[start] - offsets[r]), int(t.place[end - 1] + t.width[end - 1] - offsets[r])
+
+    for r, item_id, lo, hi in _find_short(t, eights, index) if index.short else ():
+        yield (r, item_id, 0, *span(r, lo, hi))
+    for q, (keys, first, items, table) in index.by_q.items():
+        h = _hash_grams(t.small, q, eights)
         pos = np.flatnonzero(table[h >> np.uint64(64 - _TABLE_BITS)])
-        if not len(pos):
+        key = np.minimum(np.searchsorted(keys, h[pos]), len(keys) - 1)
+        row = np.searchsorted(t.edges, pos, side="right") - 1
+        ok = (keys[key] == h[pos]) & (pos + q <= t.edges[row + 1])
+        if not ok.any():
             continue
-        lo = np.searchsorted(grams, h[pos], side="left")
-        hi = np.searchsorted(grams, h[pos], side="right")
-        row = np.searchsorted(edges, pos, side="right") - 1
-        ok = (hi > lo) & (pos + q <= edges[row + 1])
-        pos, row, lo, count = pos[ok], row[ok], lo[ok], (hi - lo)[ok]
-        if not len(pos):
-            continue
-        # a place has as many hits as its q-gram has entries in the index
-        total = np.cumsum(count)
-        at = np.arange(total[-1]) + np.repeat(lo - (total - count), count)
-        pair = np.repeat(row, count) * len(index.ids) + item[at]
-        where, inside = np.repeat(pos, count), item_place[at]
-        # the bound must be reached by places of the whole text before bands are looked at
-        keep = _enough(pair, where, index)
-        pair, where, inside = pair[keep], where[keep], inside[keep]
-        order = np.argsort(pair, kind="stable")
-        pair, where, inside = pair[order], where[order], inside[order]
-        cut = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else np.zeros(0, np.int64)
-        for a, b in zip(cut, np.append(cut[1:], len(pair)), strict=False):
-            r, k = divmod(int(pair[a]), len(index.ids))
-            text = data[edges[r] : edges[r + 1]]
-            goal, most = index.texts[k], int(index.edits[k])
-            exact = text.tobytes().find(goal.tobytes())
-            best = (0, exact, exact + len(goal)) if exact >= 0 else None
-            if best is None:
-                for lo_, hi_ in _regions(where[a:b] - edges[r], inside[a:b], len(goal), most, q, int(index.bound[k])):
-                    lo_, hi_ = max(0, lo_), min(len(text), hi_)
-                    edits, s, e = align(goal, text[lo_:hi_], most)
-                    if edits <= most and (best is None or edits < best[0]):
-                        best = (edits, lo_ + s, lo_ + e)
-            if best:
-                s, e = int(place[edges[r] + best[1]]), int(place[edges[r] + best[2] - 1]) + 1
-                yield r, index.ids[k], best[0], s - int(offsets[r]), e - int(offsets[r])
-
-
-def _enough(pair: np.ndarray, where: np.ndarray, index: Index) -> np.ndarray:
-    """The hits of pairs (text, item) whose places are as many as the item's bound."""
-    order = np.lexsort((where, pair))
-    a, b = pair[order], where[order]
-    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-    cut = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
-    places = np.add.reduceat(new, cut)
-    ok = places >= index.bound[a[cut] % len(index.ids)]
-    out = np.zeros(len(pair), dtype=bool)
-    out[order] = np.repeat(ok, np.diff(np.append(cut, len(a))))
-    return out
+        for r, k in _pairs(row[ok], key[ok], first, items, index, p.hits):
+            lo, hi = int(t.edges[r]), int(t.edges[r + 1])
+            if best := _best(t.points[lo:hi], h[lo : max(lo, hi - q + 1)], index.texts[k], q, int(index.edits[k]), int(index.bound[k]), p):
+                yield (r, index.ids[k], best[0], *span(r, lo + best[1], lo + best[2]))
 
 
 def _matches(sent, p: Leaks):
@@ -296,7 +379,7 @@ def _matches(sent, p: Leaks):
         index = sent.value
         for batch in batches:
             for part in W.chunks(batch, "text", p.chunk):
-                found = list(find(part.column(1), index))
+                found = list(find(part.column(1), index, p))
                 if found:
                     row, item, edits, start, end = zip(*found, strict=True)
                     ids = part.column(0).take(pa.array(row, pa.int64()))
@@ -323,7 +406,8 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, p: Leaks =
     """(doc_id, item_id, edits, start, end): every document that holds an item, once for each.
 
     start and end are bytes of the text in UTF-8, of the match with the fewest edits.  Null texts and
-    ids hold nothing; items that are null, without id, without a folded byte, or, unless ``short``, under ``least`` match nothing.
+    ids hold nothing; items that are null, without id, without a folded character, or, unless ``short``,
+    under ``least`` match nothing.
     Repeated rows of documents repeat their matches; of items that share an id each text counts, and
     their rows repeat.  Empty tables give an empty result.  Other columns are not read.
     """

@@ -1,4 +1,6 @@
 import random
+import re
+import resource
 
 import numpy as np
 import pyarrow as pa
@@ -8,12 +10,14 @@ from tests.llm.helpers import frame, odd, prose
 
 
 def folded(text):
-    raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
-    data, _, _ = L.fold(raw, np.array([0, len(raw)]))
-    return bytes(data).strip()
+    return re.sub("[^a-z0-9\x80-\U0010ffff]+", " ", (text or "").translate({c: c + 32 for c in range(65, 91)})).strip()
 
 
-def distance(item: bytes, text: bytes) -> int:
+def points(text):
+    return np.array([ord(c) for c in text], dtype=np.uint32)
+
+
+def distance(item: str, text: str) -> int:
     """Fewest edits of ``item`` against any part of ``text``, by the plain table."""
     row = [0] * (len(text) + 1)
     for i, a in enumerate(item, 1):
@@ -87,23 +91,65 @@ def test_without_leaks_keeps_columns(spark):
 def test_align():
     rng = random.Random(4)
     for _ in range(60):
-        a = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 12))).encode()
-        b = "".join(rng.choice("abc") for _ in range(rng.randrange(0, 20))).encode()
-        n, s, e = L.align(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8), 99)
+        a = "".join(rng.choice("abé") for _ in range(rng.randrange(1, 12)))
+        b = "".join(rng.choice("abé") for _ in range(rng.randrange(0, 20)))
+        n, s, e = L.align(points(a), points(b), 99)
         assert n == distance(a, b) and 0 <= s <= e <= len(b) and distance(a, b[s:e]) == n
 
 
+def test_align_in_a_band_of_diagonals():
+    rng = random.Random(6)
+    for _ in range(60):
+        a = "".join(rng.choice("abcd") for _ in range(30))
+        b = list(a)
+        for _ in range(3):
+            b[rng.randrange(30) : rng.randrange(30)] = rng.choice(["", "x", "yz"])
+        text = "".join(rng.choice("abcd") for _ in range(40)) + "".join(b) + "".join(rng.choice("abcd") for _ in range(40))
+        best = distance(a, text)
+        if best <= 6:
+            assert min(L.align(points(a), points(text), 6, d, d + 12)[0] for d in range(-30, len(text), 3)) == best
+
+
 def test_fold_places():
-    texts = ["  A,b!! É ", "", None, "x"]
+    texts = ["  A,b!! É ", "", None, "x", "日😀 b"]
     raw, offsets = L.W.text_buffers(pa.array(texts))
-    data, edges, place = L.fold(raw, offsets)
-    assert [bytes(data[a:b]) for a, b in zip(edges[:-1], edges[1:])] == [b"a b \xc3\x89 ", b"", b"", b"x"]
-    assert bytes(raw[place])[:1] == b"A"
+    t = L.fold(raw, offsets)
+    assert ["".join(map(chr, t.points[a:b])) for a, b in zip(t.edges[:-1], t.edges[1:])] == ["a b É ", "", "", "x", "日😀 b"]
+    assert bytes(raw[t.place])[:1] == b"A" and t.width.tolist() == [1, 1, 1, 1, 2, 1, 1, 3, 4, 1, 1]
+
+
+def test_edits_are_characters(spark):
+    rng = random.Random(8)
+    item = "".join(rng.choice("éàüßñ日本語 ab") for _ in range(130))
+    rows, want = [], {}
+    for i in range(40):
+        t = list(item)
+        for place in rng.sample(range(130), i % 16):
+            t[place] = rng.choice("øå漢字ık")
+        text = "".join(rng.choice("éàüßñ ab") for _ in range(60)) + "".join(t) + " ende"
+        rows.append((i, text))
+        if (n := distance(folded(item), folded(text))) <= len(folded(item)) // 10:
+            want[i] = n
+    got = {r.doc_id: r for r in L.leaks(spark, frame(spark, rows), frame(spark, [(1, item)], "item_id")).collect()}
+    assert {i: r.edits for i, r in got.items()} == want and len(want) > 20
+    for i, r in got.items():
+        assert distance(folded(item), folded(rows[i][1].encode()[r.start : r.end].decode())) <= r.edits
+
+
+def test_repeated_grams_do_not_multiply():
+    p = L.Leaks()
+    near = "ab" * 150 + "abxab" + "ab" * 100
+    index = L.build([(1, "ab" * 400), (2, near)], p)
+    text = "ab" * 20_000 + "cd" * 50 + near.replace("x", "y") + "cd" * 50
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found = {i: n for _, i, n, _, _ in L.find(pa.array([text, "ba" * 1_000_000]), index, p)}
+    assert found[1] == 0 and found[2] == 1
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+    small = L.Leaks(hits=50, diagonals=40)
+    assert sorted(L.find(pa.array([text[-2000:], "zz " + near]), L.build([(2, near)], small), small)) == sorted(L.find(pa.array([text[-2000:], "zz " + near]), L.build([(2, near)], p), p))
 
 
 def test_short_items_match_exactly_on_word_edges(spark):
-    import re
-
     items = [(1, "Red fox"), (2, "fox"), (3, "a"), (4, "red  FOX!"), (5, "!?"), (6, "seventeen letters"), (7, "nineteen letters xy"), (8, "日本"), (8, "fox")]
     docs = [(1, "the red-fox ran"), (2, "foxes are reddish"), (3, "A fox"), (4, "x" * 50 + " Seventeen, letters"), (5, "seventeen lettera nineteen letters xy"), (6, "日本 fox. fox"), (7, "seventeen"), (8, "letters"), (9, ""), (10, "nineteen Xetters xy"), (11, " fox"), (12, "red"), (13, "fox")]
     fold = lambda t: re.sub("[^a-z0-9\x80-\U0010ffff]+", " ", t.lower()).strip()
