@@ -1,10 +1,13 @@
 """Best-fit packing of documents into sequences by exact-complement hashing.
 
 What a sequence holds depends on lengths alone, and there are at most ``capacity`` lengths, so the
-plan is made on the histogram: the largest length left opens a sequence; its gap is filled exactly
-by one length, a pair or a triple that is still available, else by the best-fitting length, and so
-on.  A pattern found is used as often as its lengths last.  Pieces are then numbered within their
-length, and each number finds its sequence and place in the plan.
+plan is made on the histogram.  An index by sum knows a single length, a pair and a triple that are
+still available for each sum.  From the largest length down, the gap beside a length is looked up in the
+index, and a combination that fills it exactly is used as often as its lengths last.  Lengths without
+an exact complement are the residuals: the largest opens a sequence, the best-fitting length goes in,
+and what gap that leaves is looked up in the index again.  Residuals are packed either when all exact
+fills are done or as they turn up, whichever takes fewer sequences.  Pieces are then numbered within
+their length, and each number finds its sequence and place in the plan.
 """
 
 from __future__ import annotations
@@ -53,52 +56,64 @@ def _pieces(p: Packing, keep_ids: bool):
     return run
 
 
-def _fill(gap: int, left: np.ndarray, most: int = 3) -> list[int] | None:
-    """At most ``most`` available lengths, largest first, with sum ``gap``."""
-    if gap < len(left) and left[gap] > 0:
-        return [gap]
-    if most >= 2:
-        big = np.arange((gap + 1) // 2, min(gap, len(left)))
-        ok = (left[big] > 0) & (left[gap - big] > np.where(2 * big == gap, 1, 0))
-        if ok.any():
-            b = int(big[np.flatnonzero(ok)[-1]])
-            return [b, gap - b]
-    if most >= 3:
-        for b in np.flatnonzero(left[: min(gap - 1, len(left))] > 0)[::-1].tolist():
-            if 3 * b < gap:
-                break
-            left[b] -= 1
-            rest = _fill(gap - b, left, 2)
-            left[b] += 1
-            if rest:
-                return [b, *rest]
-    return None
+class Sums:
+    """An index, by sum, of one, two or three lengths that are available.
 
-
-def plan(histogram: dict[int, int], capacity: int) -> dict[str, np.ndarray]:
-    """Slots (length, first number, first sequence, offset), each as long as its pattern is used.
-
-    ``until`` of a slot is the number after its last.
+    ``left`` counts what is available of each length and only ever falls, so a combination that has run
+    out never comes back: the larger length of a sum's pair, and the largest of its triple, only fall too,
+    and a lookup goes on from where the last one for the same sum ended.
     """
-    left = np.zeros(capacity + 1, dtype=np.int64)
+
+    def __init__(self, left: list[int]) -> None:
+        self.left = left
+        self.pair = [s - 1 for s in range(len(left))]
+        self.triple = [s - 2 for s in range(len(left))]
+
+    def _pair(self, total: int, large: int) -> tuple[int, int] | None:
+        """The pair of ``total`` whose larger length is the largest up to ``large``."""
+        left = self.left
+        while 2 * large >= total:
+            small = total - large
+            if left[large] and left[small] > (small == large):
+                return large, small
+            large -= 1
+        return None
+
+    def exact(self, total: int) -> tuple[int, ...] | None:
+        """One length, a pair or a triple that sums up to ``total``, largest first, or None."""
+        if self.left[total]:
+            return (total,)
+        if pair := self._pair(total, self.pair[total]):
+            self.pair[total] = pair[0]
+            return pair
+        self.pair[total] = 0
+        large = self.triple[total]
+        while 3 * large >= total:
+            if self.left[large]:
+                self.left[large] -= 1
+                pair = self._pair(total - large, min(large, total - large - 1))
+                self.left[large] += 1
+                if pair:
+                    self.triple[total] = large
+                    return (large, *pair)
+            large -= 1
+        self.triple[total] = 0
+        return None
+
+
+def _plan(histogram: dict[int, int], capacity: int, later: bool) -> tuple[int, list[tuple[int, int, int, int, int]]]:
+    """Sequences and slots (length, first number, number after the last, first sequence, offset)."""
+    left = [0] * (capacity + 1)
     for length, n in histogram.items():
-        left[length] = n
-    used, sequences, slots = np.zeros(capacity + 1, dtype=np.int64), 0, []
-    while left.any():
-        pattern, gap, rest = [], capacity, left.copy()
-        while gap:
-            exact = _fill(gap, rest) if pattern else None
-            if exact is None:
-                fits = np.flatnonzero(rest[: gap + 1] > 0)
-                if not len(fits):
-                    break
-                exact = [int(fits[-1])]
-            for x in exact:
-                rest[x] -= 1
-                pattern.append(x)
-                gap -= x
+        left[length] = int(n)
+    sums = Sums(left)
+    used, sequences, slots = [0] * (capacity + 1), 0, []
+
+    def use(pattern: list[int]) -> None:
+        """Sequences that hold ``pattern``, as many as its lengths last."""
+        nonlocal sequences
         need = Counter(pattern)
-        times = min(int(left[x]) // n for x, n in need.items())
+        times = min(left[x] // n for x, n in need.items())
         offset = 0
         for x in pattern:
             slots.append((x, used[x], used[x] + times, sequences, offset))
@@ -107,6 +122,52 @@ def plan(histogram: dict[int, int], capacity: int) -> dict[str, np.ndarray]:
         for x, n in need.items():
             left[x] -= n * times
         sequences += times
+
+    def exact(length: int) -> bool:
+        """Whether sequences that ``length`` opens could be filled exactly."""
+        left[length] -= 1
+        found = sums.exact(capacity - length) if length < capacity else ()
+        left[length] += 1
+        if found is not None:
+            use([length, *found])
+        return found is not None
+
+    def residual(length: int) -> None:
+        pattern, gap = [length], capacity - length
+        left[length] -= 1
+        while gap:
+            found = sums.exact(gap) if len(pattern) > 1 else None
+            if found is None:
+                fits = next((x for x in range(gap, 0, -1) if left[x]), None)
+                if fits is None:
+                    break
+                found = (fits,)
+            for x in found:
+                left[x] -= 1
+                pattern.append(x)
+                gap -= x
+        for x in pattern:
+            left[x] += 1
+        use(pattern)
+
+    for length in range(capacity, 0, -1):
+        while left[length]:
+            if not exact(length):
+                if later:
+                    break
+                residual(length)
+    for length in range(capacity, 0, -1):
+        while left[length]:
+            residual(length)
+    return sequences, slots
+
+
+def plan(histogram: dict[int, int], capacity: int) -> dict[str, np.ndarray]:
+    """Slots (length, first number, first sequence, offset), each as long as its pattern is used.
+
+    ``until`` of a slot is the number after its last.
+    """
+    sequences, slots = min((_plan(histogram, capacity, later) for later in (True, False)), key=lambda p: p[0])
     table = np.array(slots, dtype=np.int64).reshape(-1, 5)
     table = table[np.lexsort((table[:, 1], table[:, 0]))]
     return dict(zip(("length", "number", "until", "sequence", "offset"), table.T, strict=True)) | {"sequences": np.array([sequences])}

@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -78,3 +79,51 @@ def test_plan_uses_every_piece_once(seed):
 def test_plan_prefers_exact_complements():
     s = packing.plan({60: 5, 40: 5, 30: 4, 70: 2, 50: 3, 20: 3}, 100)
     assert s["sequences"][0] == (300 + 200 + 120 + 140 + 150 + 60 + 99) // 100
+
+
+def fewest(lengths, cap):
+    """The fewest sequences, by trying the place of every piece."""
+    best = len(lengths)
+
+    def put(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(lengths):
+            best = len(bins)
+            return
+        for k in sorted(set(bins)):
+            if k + lengths[i] <= cap:
+                rest = list(bins)
+                rest[rest.index(k)] += lengths[i]
+                put(i + 1, rest)
+        put(i + 1, [*bins, lengths[i]])
+
+    put(0, [])
+    return best
+
+
+def test_small_cases_against_the_optimum():
+    rng, more = random.Random(11), 0
+    for _ in range(120):
+        lengths = sorted((rng.randrange(1, 21) for _ in range(rng.randrange(1, 10))), reverse=True)
+        n = int(packing.plan(Counter(lengths), 20)["sequences"][0])
+        best = fewest(lengths, 20)
+        assert best <= n <= best + 1
+        more += n > best
+    assert more <= 6
+
+
+def test_sums_know_what_is_available():
+    rng = random.Random(12)
+    for _ in range(40):
+        left = [0] + [rng.randrange(3) if rng.random() < 0.4 else 0 for _ in range(24)]
+        sums = packing.Sums(left)
+        while any(left):
+            total = rng.randrange(1, 25)
+            found = sums.exact(total)
+            ways = [c for n in (1, 2, 3) for c in itertools.combinations_with_replacement(range(1, 25), n) if sum(c) == total and all(left[x] >= k for x, k in Counter(c).items())]
+            assert (found is None) == (not ways) and (not ways or len(found) == min(map(len, ways)) and sum(found) == total)
+            for x in found or [next(i for i, n in enumerate(left) if n)]:
+                left[x] -= 1
+            assert min(left) >= 0
