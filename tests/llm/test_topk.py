@@ -66,3 +66,34 @@ def test_bounds_hold():
 def test_large_components_are_exact():
     a = np.array([[2**40, 3], [1, 1]], dtype=np.int64)
     assert T.exact(a, a).tolist() == [[2**80 % 2**64 + 9, 2**40 + 3], [2**40 + 3, 2]]
+
+
+def side(x, first=0):
+    return T.Side(np.arange(first, first + len(x)), x)
+
+
+def test_bounds_leave_few_pairs_for_exact_scores():
+    rng = np.random.default_rng(5)
+    x = np.floor(64 * rng.normal(0, 0.125, (8192, 64))).astype(np.int64)
+    q, p = side(x[:100]), T.TopK()
+    score = T.exact(x[:100], x)
+    score[np.arange(100), np.arange(100)] = -(10**9)
+    floor = np.sort(score, axis=1)[:, -p.k].astype(float)
+    left = [len(rows) for rows, _ in T.survivors(q, side(x), floor, p)]
+    assert left == sorted(left, reverse=True) and left[-1] < 0.5 * left[0]
+    for rows, cols in T.survivors(q, side(x), floor, p):
+        alive = np.zeros(score.shape, bool)
+        alive[rows, cols] = True
+        assert alive[score >= floor[:, None]].all()
+
+
+def test_search_over_blocks_with_rising_thresholds():
+    rng = np.random.default_rng(6)
+    x = rng.integers(-30, 30, (700, 16))
+    p = T.TopK(k=7, strip=9)
+    blocks = [side(x[a : a + 60], a) for a in range(0, 700, 60)]
+    at, ids, score = T.search(side(x[:40]), blocks, np.full(40, -np.inf), p)
+    full = T.exact(x[:40], x)
+    for i in range(40):
+        want = sorted((-int(full[i, j]), j) for j in range(700) if j != i)[:7]
+        assert sorted(zip((-score[at == i]).tolist(), ids[at == i].tolist())) == want
