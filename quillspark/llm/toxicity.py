@@ -1,11 +1,11 @@
 """Toxicity by a classifier chain.
 
 The links of the chain are categories, the last one toxicity as ``labels.toxic`` marks it.  The
-categories before it are kinds of abuse, weakly labelled: a toxic training row belongs to a kind if
-it holds one of the kind's seed words; one that holds no seed goes by its selected features to the
-kind whose rows are most like it, and kinds without rows are first made of such rows.  Each link is a logistic model over the presence of selected
-words and word beginnings and over the probabilities of all links before it.  In training these
-probabilities are out-of-fold predictions, so no link learns from scores that saw its own row.
+categories before it are kinds of abuse.  No label names them, so they come from the data: toxic
+training rows are clustered by their selected features, a cluster a kind.  Each link is a logistic
+model over the presence of selected words and word beginnings, for toxicity or against it, and over the
+probabilities of all links before it.  In training these probabilities are out-of-fold predictions, so
+no link learns from scores that saw its own row.
 """
 
 from __future__ import annotations
@@ -22,16 +22,10 @@ from pyspark.sql import functions as F
 from quillspark.llm import words as W
 from quillspark.llm.store import Scratch
 
-#: Seed words of the kinds of abuse, a parameter of the operator.
-SEEDS = {
-    "insult": ("clown", "idiot", "loser", "moron", "stupid"),
-    "contempt": ("scum", "trash", "worthless"),
-    "disgust": ("disgusting", "pathetic"),
-}
-
-
 @dataclass(frozen=True)
 class Toxicity:
+    #: Kinds of abuse that are told apart.
+    kinds: int = 3
     #: Bytes of word beginnings that are features beside whole words.
     beginnings: tuple[int, ...] = (4, 5, 6, 7, 8)
     #: A feature that comes this often in a text is a further feature.
@@ -39,7 +33,7 @@ class Toxicity:
     #: Bound of the training sample and of the selected features.
     sample: int = 12_000
     features: int = 2000
-    #: Least z-score and number of toxic texts of a selected feature.
+    #: Least z-score, of either sign, and number of texts of a selected feature.
     z: float = 3.5
     least: int = 5
     folds: int = 5
@@ -49,8 +43,8 @@ class Toxicity:
     seed: int = 23
 
 
-def text_features(column: pa.Array, p: Toxicity) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, feature) of a column of texts, each pair once, sorted; and the word hashes' own features."""
+def text_features(column: pa.Array, p: Toxicity) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) of a column of texts: whole words and word beginnings, as often as they come."""
     words = W.Words(column, fold=True)
     # letters only: what trails a word (punctuation, marks) is cut off
     data = words.data
@@ -71,8 +65,7 @@ def text_features(column: pa.Array, p: Toxicity) -> tuple[np.ndarray, np.ndarray
         long = ends - starts > n
         found_rows.append(rows[long])
         found.append(W.mix(W.span_hashes(data, starts[long], starts[long] + n) + np.uint64(n)))
-    row, feature = np.concatenate(found_rows), np.concatenate(found)
-    return row, feature, found[0]
+    return np.concatenate(found_rows), np.concatenate(found)
 
 
 def _distinct(row: np.ndarray, feature: np.ndarray, p: Toxicity) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +82,7 @@ def _feature_counts(p: Toxicity):
         for batch in batches:
             for part in W.chunks(batch, "text", 16 << 20):
                 toxic = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-                row, feature = _distinct(*text_features(part.column(0), p)[:2], p)
+                row, feature = _distinct(*text_features(part.column(0), p), p)
                 name, inverse = np.unique(feature, return_inverse=True)
                 yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(np.bincount(inverse, toxic[row], len(name)).astype(np.int64)), pa.array(np.bincount(inverse, minlength=len(name)).astype(np.int64))], names=["feature", "toxic", "n"])
 
@@ -103,21 +96,16 @@ class Chain:
     features: np.ndarray
     names: list[str]
     weights: list[np.ndarray]
-    seeds: list[np.ndarray]
     p: Toxicity
 
-    def places(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, place) of the selected features of texts, and which rows hold seeds of each kind."""
-        row, feature, whole = text_features(column, self.p)
-        kinds = np.zeros((len(column), len(self.seeds)), dtype=bool)
-        for k, seeds in enumerate(self.seeds):
-            kinds[row[: len(whole)][np.isin(whole, seeds)], k] = True
+    def places(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(row, place) of the selected features of texts."""
         if not len(self.features):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), kinds
-        row, feature = _distinct(row, feature, self.p)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        row, feature = _distinct(*text_features(column, self.p), self.p)
         at = np.minimum(np.searchsorted(self.features, feature), len(self.features) - 1)
         hit = self.features[at] == feature
-        return row[hit], at[hit], kinds
+        return row[hit], at[hit]
 
     def predict(self, row: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
         """Probabilities of all links, one after the other."""
@@ -148,51 +136,61 @@ def _logistic(row: np.ndarray, place: np.ndarray, before: np.ndarray, y: np.ndar
     return w
 
 
-def derived_kinds(row: np.ndarray, place: np.ndarray, toxic: np.ndarray, kinds: np.ndarray, count: int, size: int, rounds: int = 10) -> np.ndarray:
-    """``kinds``, bits for each row, with one of ``count`` kinds for each toxic row that has features but no kind.
+def derived_kinds(row: np.ndarray, place: np.ndarray, toxic: np.ndarray, speaks: np.ndarray, count: int, rounds: int = 10) -> np.ndarray:
+    """(row, kind): which of ``count`` kinds each toxic row belongs to, none for rows without a feature that ``speaks``.
 
-    A kind without rows starts from the rows that share the most frequent feature of those not yet
-    taken; then rows go to the kind with the most similar mean, and means are taken anew.
+    A kind starts from the rows that share the most frequent feature of those not yet taken; then rows go
+    to the kind with the most similar mean, and means are taken anew, until nothing moves.
     """
-    out = kinds.copy()
+    out = np.zeros((len(toxic), count), dtype=bool)
     bad = np.flatnonzero(toxic)
-    x = np.zeros((len(bad), size), dtype=np.float32)
+    x = np.zeros((len(bad), len(speaks)), dtype=np.float32)
     of = np.full(len(toxic), -1)
     of[bad] = np.arange(len(bad))
-    here = of[row] >= 0
+    here = (of[row] >= 0) & speaks[place]
     x[of[row[here]], place[here]] = 1
-    x /= np.maximum(np.sqrt(x.sum(axis=1, keepdims=True)), 1)
-    free = (kinds[bad] == 0) & x.any(axis=1)
-    if not free.any():
+    known = x.any(axis=1)
+    if not known.any():
         return out
-    member = (kinds[bad, None] >> np.arange(count) & 1).astype(bool)
-    rest = free.copy()
-    for k in np.flatnonzero(~member.any(axis=0)).tolist():
+    x /= np.maximum(np.sqrt(x.sum(axis=1, keepdims=True)), 1)
+    member, rest = np.zeros((len(bad), count), dtype=bool), known.copy()
+    for k in range(count):
         if rest.any():
             member[:, k] = rest & (x[:, np.argmax((x[rest] > 0).sum(axis=0))] > 0)
             rest &= ~member[:, k]
     for _ in range(rounds):
         mean = member.T.astype(np.float32) @ x
         mean /= np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-9)
-        best = np.argmax(x[free] @ mean.T, axis=1)
-        new = member.copy()
-        new[free] = best[:, None] == np.arange(count)
+        new = known[:, None] & (np.argmax(x @ mean.T, axis=1)[:, None] == np.arange(count))
         if (new == member).all():
             break
         member = new
-    out[bad[free]] = member[free] @ (1 << np.arange(count))
+    out[bad] = member
     return out
 
 
+def chained(row: np.ndarray, place: np.ndarray, folds: np.ndarray, categories: list[np.ndarray], size: int, p: Toxicity) -> list[np.ndarray]:
+    """The weights of a link for each category; links see out-of-fold probabilities of those before them."""
+    weights, before = [], np.zeros((len(folds), 0))
+    every = np.ones(len(folds), dtype=bool)
+    for k, y in enumerate(categories):
+        weights.append(_logistic(row, place, before, y, every, size, p))
+        unseen = np.zeros(len(folds))
+        for f in range(p.folds) if k + 1 < len(categories) else ():
+            w = _logistic(row, place, before, y, folds != f, size, p)
+            unseen = np.where(folds == f, _probability(row, place, before, w, size), unseen)
+        before = np.column_stack((before, unseen))
+    return weights
+
+
 def _sample_places(chain):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.chunks(batch):
-                row, place, kinds = chain.value.places(part.column(0))
+                row, place = chain.value.places(part.column(0))
                 order = np.argsort(row, kind="stable")
                 off = np.searchsorted(row[order], np.arange(part.num_rows + 1)).astype(np.int32)
-                bits = pa.array((kinds * (1 << np.arange(kinds.shape[1]))).sum(axis=1).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), bits, pa.ListArray.from_arrays(off, pa.array(place[order].astype(np.int32)))], names=["toxic", "fold", "kinds", "places"])
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.ListArray.from_arrays(off, pa.array(place[order].astype(np.int32)))], names=["toxic", "fold", "places"])
 
     return run
 
@@ -208,26 +206,20 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, p: Toxicity) ->
     counted = rows.select("text", "toxic").mapInArrow(_feature_counts(p), "feature long, toxic long, n long").groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("n").alias("n")).withColumn("b", F.col("n") - F.col("a"))
     odds = F.log((F.col("a") + 0.5) / (F.lit(bad) - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (F.lit(n - bad) - F.col("b") + 0.5))
     z = odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    top = counted.withColumn("z", z).where((F.col("z") >= p.z) & (F.col("a") >= p.least)).orderBy(F.desc("z"), "feature").limit(p.features).select("feature").toPandas()
-    features = np.sort(top["feature"].to_numpy(dtype=np.int64).view(np.uint64))
-    seeds = [W.Words(pa.array([" ".join(SEEDS[k])]), fold=True).hashes for k in SEEDS]
-    chain = Chain(features, [*SEEDS, "toxic"], [], seeds, p)
-    found: pd.DataFrame = rows.mapInArrow(_sample_places(spark.sparkContext.broadcast(chain)), "toxic int, fold int, kinds long, places array<int>").toPandas()
-    toxic, folds, kinds = (found[c].to_numpy(dtype=np.int64) for c in ("toxic", "fold", "kinds"))
+    strong = counted.withColumn("z", z).where((F.abs("z") >= p.z) & (F.col("n") >= p.least))
+    top = strong.orderBy(F.desc(F.abs("z")), "feature").limit(p.features).select("feature", "z").toPandas()
+    feature = top["feature"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(feature)
+    features, speaks = feature[order], top["z"].to_numpy(dtype=float)[order] > 0
+    chain = Chain(features, [*(f"kind_{k + 1}" for k in range(p.kinds)), "toxic"], [], p)
+    found: pd.DataFrame = rows.mapInArrow(_sample_places(spark.sparkContext.broadcast(chain)), "toxic int, fold int, places array<int>").toPandas()
+    scratch.drop(rows)
+    toxic, folds = (found[c].to_numpy(dtype=np.int64) for c in ("toxic", "fold"))
     sizes = [len(x) for x in found["places"]]
     row = np.repeat(np.arange(len(found)), sizes)
     place = np.concatenate([np.asarray(x, dtype=np.int64) for x in found["places"]]) if len(found) else np.zeros(0, np.int64)
-    kinds = derived_kinds(row, place, toxic, kinds, len(SEEDS), len(features))
-    before = np.zeros((len(found), 0))
-    every = np.ones(len(found), dtype=bool)
-    for k in range(len(chain.names)):
-        y = (toxic if k == len(SEEDS) else toxic & (kinds >> k & 1)).astype(np.float64)
-        chain.weights.append(_logistic(row, place, before, y, every, len(features), p))
-        unseen = np.zeros(len(found))
-        for f in range(p.folds) if k < len(SEEDS) else ():
-            w = _logistic(row, place, before, y, folds != f, len(features), p)
-            unseen = np.where(folds == f, _probability(row, place, before, w, len(features)), unseen)
-        before = np.column_stack((before, unseen))
+    kinds = derived_kinds(row, place, toxic, speaks, p.kinds)
+    chain.weights = chained(row, place, folds, [*kinds.T.astype(float), toxic.astype(float)], len(features), p)
     return chain
 
 
@@ -236,7 +228,7 @@ def _scored(chain):
         c: Chain = chain.value
         for batch in batches:
             for part in W.chunks(batch):
-                row, place, _ = c.places(part.column(1))
+                row, place = c.places(part.column(1))
                 out = c.predict(row, place, part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(x) for x in out.T), pa.array((out[:, -1] >= c.p.threshold).astype(np.int32))], names=["doc_id", "held_out", *c.names, "predicted"])
 
@@ -249,7 +241,8 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, held_out: Col
     Learns from rows of ``labels`` (doc_id, toxic) for which ``held_out``, a boolean column over doc_id,
     is not true; labels other than 0 and 1 are left out, of several for one document the largest
     counts.  Null and empty texts have no features: their scores are the chain's constants.  Without
-    labels, or with one label only, scores are the smoothed share of toxic rows.  Repeated rows are
+    labels, or with one label only, scores are the smoothed share of toxic rows.  Kinds are numbered from 1; a
+    kind that no toxic row belongs to has the probability of a link without positives.  Repeated rows are
     scored alike and a null doc_id is returned.  Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

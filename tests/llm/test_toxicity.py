@@ -11,13 +11,15 @@ from tests.llm.helpers import frame, odd, prose
 SF = "/root/testdata/sf0.1"
 
 
+WORDS = {"insult": ("clown", "idiot", "loser"), "contempt": ("scum", "trash", "worthless"), "disgust": ("disgusting", "pathetic", "vile")}
+
+
 def labelled(rng, n):
-    seeds = [w for ws in X.SEEDS.values() for w in ws]
     rows, labels = [], []
     for i in range(n):
         w, bad = prose(rng, rng.randrange(20, 200)).split(), i % 4 == 0
-        for _ in range(3 if bad else 0):
-            w.insert(rng.randrange(len(w)), rng.choice(seeds) + rng.choice(["", ",", "."]))
+        for word in rng.choice(list(WORDS.values())) if bad else ():
+            w.insert(rng.randrange(len(w)), word + rng.choice(["", ",", "."]))
         rows.append((i, " ".join(w)))
         labels.append((i, int(bad)))
     return rows, labels
@@ -28,12 +30,6 @@ def test_held_out(spark):
     out = X.score(spark, frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"), F.col("doc_id") % 5 == 0).collect()
     truth = dict(labels)
     assert len(out) == 1000 and np.mean([r.predicted == truth[r.doc_id] for r in out if r.held_out]) > 0.97
-    text = dict(rows)
-    for r in out:  # kinds follow their seeds
-        if any(w in text[r.doc_id] for w in X.SEEDS["disgust"]):
-            assert r.disgust > 0.3
-        elif not truth[r.doc_id]:
-            assert r.disgust < 0.3
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -64,7 +60,7 @@ def test_links_use_earlier_probabilities():
     assert w[0] > 2
 
 
-def test_kinds_of_words_that_are_no_seeds(spark):
+def test_kinds_come_from_the_data(spark):
     rng = random.Random(7)
     groups = [("zorkel", "blargus"), ("snivit", "quemmel"), ("wobbrin", "fnarkle")]
     rows, labels, group = [], [], {}
@@ -79,10 +75,40 @@ def test_kinds_of_words_that_are_no_seeds(spark):
     out = X.score(spark, frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"), F.col("doc_id") % 5 == 0).collect()
     best = {}
     for r in out:
-        p = [r[k] for k in X.SEEDS]
+        p = [r.kind_1, r.kind_2, r.kind_3]
         if r.doc_id in group:
             best.setdefault(group[r.doc_id], set()).add(p.index(max(p)))
             assert max(p) > 0.5
         else:
             assert max(p) < 0.5
     assert sorted(map(len, best.values())) == [1, 1, 1] and set.union(*best.values()) == {0, 1, 2}
+
+
+def log_loss(p, y):
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+
+def test_the_chain_helps_where_one_kind_must_be_strong():
+    """Toxic rows hold most signs of one kind, clean ones a few of every kind: no sum of signs tells them apart."""
+    rng = np.random.default_rng(4)
+    n, each, p = 3000, 8, X.Toxicity()
+    x = np.zeros((n, 3 * each), dtype=bool)
+    y = np.arange(n) % 3 == 0
+    for i in range(n):
+        if y[i]:
+            x[i, rng.integers(3) * each + rng.permutation(each)[:6]] = True
+        else:
+            for k in range(3):
+                x[i, k * each + rng.permutation(each)[: rng.integers(1, 4)]] = True
+    train = np.arange(n) < 2000
+    row, place = np.nonzero(x[train])
+    folds = np.arange(2000) % p.folds
+    kinds = X.derived_kinds(row, place, y[train].astype(int), np.ones(3 * each, bool), 3)
+    rest_row, rest_place = np.nonzero(x[~train])
+    loss = {}
+    for name, categories in (("chain", [*kinds.T.astype(float), y[train].astype(float)]), ("plain", [y[train].astype(float)])):
+        weights = X.chained(row, place, folds, categories, 3 * each, p)
+        chain = X.Chain(np.arange(3 * each, dtype=np.uint64), [str(k) for k in range(len(weights))], weights, p)
+        loss[name] = log_loss(chain.predict(rest_row, rest_place, n - 2000)[:, -1], y[~train])
+    assert loss["chain"] < 0.7 * loss["plain"]
