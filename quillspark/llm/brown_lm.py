@@ -7,10 +7,12 @@ words and one end, of a class transition and an emission of the word by its clas
 
 The exchange starts from units: the most frequent words, one unit each, and all other words in
 groups by the ending they share.  Then rounds move every other training word by itself, from what
-stands before and after it in all training documents; words, counts and classes stay in tables.  A
+stands before and after it in all training documents; words, counts and classes
+stay in tables.  A
 word of a round is moved as if it moved alone, so a round that lowers the likelihood is taken back.
 Only unseen words keep the class of their ending.  Transitions are smoothed towards class
-frequencies; emissions discount every seen word by D and give the mass to unseen ones.
+frequencies; emissions discount every seen word by D, and the mass so saved is that of one event,
+"some unseen word of this class", whichever word it is.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +42,9 @@ class BrownLM:
     common: int = 2_000_000
     #: Rounds in which each word that is not a unit of its own is moved.
     rounds: int = 2
+    #: Bytes of text in a chunk, and entries (a word of a chunk) in a bucket of words.
+    chunk: int = 1 << 20
+    bucket: int = 1_000_000
 
     @property
     def units(self) -> int:
@@ -108,7 +114,8 @@ def exchange(pairs: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
     """Classes of units by the exchange algorithm; the last unit, the end, keeps the last class.
 
     Units start in order of frequency, dealt round; each sweep takes every unit out of its class and
-    puts it where the likelihood of the class bigrams is largest, until a sweep moves nothing.
+    puts it where the likelihood of the class bigrams is largest, until a sweep moves nothing or
+    ``sweeps`` are done.
     """
     size = len(pairs)
     end = classes - 1
@@ -279,73 +286,183 @@ class Gains:
         return gain
 
 
-_CODED = "chunk long, doc_id array<long>, held_out array<boolean>, first array<int>, words array<long>, ending array<short>, n array<long>, seq binary"
+_CODED = "chunk long, doc_id array<long>, held_out array<boolean>, first array<int>, ending binary, seq binary, words binary, n binary"
+_SPREAD = "bucket int, chunk long, words binary, ending binary, n binary"
+_STATE = "bucket int, chunks binary, sizes binary, words binary, ending binary, n binary, place binary"
+_CLASSES = "bucket int, chunk long, cls binary"
+_BESIDE = "bucket int, chunk long, cls binary, sizes binary, codes binary"
+#: Rows of the table of classes that belong to no chunk: codes of a bucket's words, and sums of its classes.
+_WORDS, _SUMS = -1, -2
 
 
 def _lists(*columns: np.ndarray | pa.Array) -> list[pa.Array]:
     return [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c if isinstance(c, pa.Array) else pa.array(c)) for c in columns]
 
 
+def _cells(data: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """``data`` between neighbouring ``edges``, a binary cell each."""
+    offsets = (np.asarray(edges, dtype=np.int64) * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
+
+
+def _joined(column: pa.ChunkedArray | pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All cells one after the other, and how many values each has."""
+    cells = [np.frombuffer(x.as_buffer(), dtype=kind) for x in column]
+    return np.concatenate([*cells, np.zeros(0, kind)]), np.array([len(x) for x in cells], dtype=np.int64)
+
+
+def _place_type(words: int) -> type:
+    return np.uint16 if words <= 1 << 16 else np.uint32
+
+
+def _ending_type(p: BrownLM) -> type:
+    return np.uint8 if p.groups <= 256 else np.uint16
+
+
+def _code_type(p: BrownLM) -> type:
+    return np.uint8 if 2 * p.classes < 256 else np.uint16
+
+
 def _encode(p: BrownLM):
-    """Chunks of rows: their distinct words, how often training rows hold each, and rows as places among them."""
+    """Chunks of rows: their distinct words in order of hash, how often training rows hold each, and rows as places among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in W.chunks(batch):
+            for part in W.chunks(batch, "text", p.chunk):
                 words = W.Words(part.column(2), fold=True)
                 word, at, place = np.unique(words.hashes, return_index=True, return_inverse=True)
                 held = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
                 n = np.bincount(place[~held[words.rows()]], minlength=len(word))
-                lists = _lists(part.column(0), pa.array(held), words.first.astype(np.int32), word.view(np.int64), _group(words, p)[at].astype(np.int16), n.astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), *lists, pa.array([place.astype(np.int32).tobytes()], pa.binary())], names=["chunk", "doc_id", "held_out", "first", "words", "ending", "n", "seq"])
+                cells = (_group(words, p)[at].astype(_ending_type(p)), place.astype(_place_type(len(word))), word, n.astype(np.uint32))
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), *_lists(part.column(0), pa.array(held), words.first.astype(np.int32)), *(pa.array([x.tobytes()], pa.binary()) for x in cells)], names=[c.split()[0] for c in _CODED.split(", ")])
                 chunk += 1
 
     return run
 
 
-def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of chunks: chunk, place, word, ending, n."""
+def _spread(p: BrownLM, buckets: int):
+    """The words of chunks, dealt to ranges of hashes: a row for each bucket and chunk."""
+    bounds = np.array([(i << 64) // buckets for i in range(1, buckets)], dtype=np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words, ending, n = (np.frombuffer(batch.column(k)[i].as_buffer(), t) for k, t in ((1, np.uint64), (2, _ending_type(p)), (3, np.uint32)))
+                edges = np.concatenate(([0], np.searchsorted(words, bounds), [len(words)]))
+                here = np.flatnonzero(np.diff(edges))
+                edges = np.append(edges[here], len(words))
+                chunk = np.full(len(here), batch.column(0)[i].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(here.astype(np.int32)), pa.array(chunk), *(_cells(x, edges) for x in (words, ending, n))], names=["bucket", "chunk", "words", "ending", "n"])
+
+    return run
+
+
+def _row(**values) -> pa.Table:
+    kinds = {bytes: pa.binary(), int: pa.int32()}
+    return pa.table({k: pa.array([v], kinds[type(v)]) for k, v in values.items()})
+
+
+def _gather(p: BrownLM):
+    """A bucket as one row: its distinct words with endings and counts, and the word of each entry of its chunks."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("chunk")
+        words, sizes = _joined(rows.column("words"), np.uint64)
+        ending, n = _joined(rows.column("ending"), _ending_type(p))[0], _joined(rows.column("n"), np.uint32)[0]
+        word, first, place = np.unique(words, return_index=True, return_inverse=True)
+        total = np.bincount(place, n, len(word)).astype(np.int64)
+        cells = {"chunks": rows.column("chunk").to_numpy(), "sizes": sizes.astype(np.int32), "words": word, "ending": ending[first], "n": total, "place": place.astype(np.int32)}
+        return _row(bucket=rows.column("bucket")[0].as_py(), **{k: v.tobytes() for k, v in cells.items()})
+
+    return run
+
+
+class _Bucket:
+    """A row of the state as arrays."""
+
+    def __init__(self, row, p: BrownLM) -> None:
+        self.bucket = row("bucket").as_py()
+        kinds = {"chunks": np.int64, "sizes": np.int32, "words": np.uint64, "ending": _ending_type(p), "n": np.int64, "place": np.int32}
+        for name, kind in kinds.items():
+            setattr(self, name, np.frombuffer(row(name).as_buffer(), dtype=kind))
+        self.edges = np.concatenate(([0], np.cumsum(self.sizes, dtype=np.int64)))
+
+    def classes(self, code: np.ndarray, p: BrownLM) -> pa.Table:
+        """Codes of the words for each chunk, for the bucket, and sums of words and tokens by class."""
+        code = code.astype(_code_type(p))
+        seen = self.n > 0
+        of = (code % p.classes)[seen]
+        sums = np.concatenate((np.bincount(of, self.n[seen], p.classes), np.bincount(of, minlength=p.classes))).astype(np.int64)
+        cells = pa.concat_arrays([_cells(code[self.place], self.edges), pa.array([code.tobytes(), sums.tobytes()], pa.binary())])
+        chunk = np.concatenate((self.chunks, [_WORDS, _SUMS]))
+        return pa.table([pa.array(np.full(len(chunk), self.bucket, np.int32)), pa.array(chunk), cells], names=["bucket", "chunk", "cls"])
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], p: BrownLM) -> Iterator[_Bucket]:
     for batch in batches:
-        words = batch.column(1)
-        sizes = np.diff(words.offsets.to_numpy())
-        chunk = np.repeat(batch.column(0).to_numpy(), sizes)
-        place = np.arange(len(chunk)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(place.astype(np.int32)), words.flatten(), batch.column(2).flatten(), batch.column(3).flatten()], names=["chunk", "place", "word", "ending", "n"])
+        for i in range(batch.num_rows):
+            yield _Bucket(lambda name, i=i: batch.column(batch.schema.get_field_index(name))[i], p)
+
+
+def _counts(p: BrownLM):
+    """(word, ending, n) of all training words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _buckets(batches, p):
+            seen = np.flatnonzero(b.n > 0)
+            for at in range(0, len(seen), 100_000):
+                k = seen[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(b.words[k].view(np.int64)), pa.array(b.ending[k].astype(np.int16)), pa.array(b.n[k])], names=["word", "ending", "n"])
+
+    return run
+
+
+def _chunk_counts(p: BrownLM):
+    """Counts of the words of each chunk: two bytes each, those that need more apart."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _buckets(batches, p):
+            n = b.n[b.place]
+            large = n >= 0xFFFF
+            edges = np.concatenate(([0], np.cumsum(large)))[b.edges]
+            chunk = pa.array(b.chunks)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(chunk), b.bucket, np.int32)), chunk, _cells(np.minimum(n, 0xFFFF).astype(np.uint16), b.edges), _cells(n[large], edges)], names=["bucket", "chunk", "few", "many"])
 
-_CLASSES = "word long, ending short, n long, cls short, fixed boolean"
+    return run
 
 
 def _first_classes(model):
+    """Classes of words as the units have them; words that are units stay there, and held-out words have none."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
-        for batch in batches:
-            word = batch.column(0).to_numpy().view(np.uint64)
-            unit = batch.column(1).to_numpy().astype(np.int64) + m.units.p.frequent
-            fixed = np.zeros(len(word), dtype=bool)
-            if len(m.units.frequent):
-                at = np.minimum(np.searchsorted(m.units.frequent, word), len(m.units.frequent) - 1)
-                fixed = m.units.frequent[at] == word
-                unit[fixed] = at[fixed]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.cls[unit].astype(np.int16)), pa.array(fixed)], names=["word", "ending", "n", "cls", "fixed"])
+        p = m.units.p
+        for b in _buckets(batches, p):
+            unit = b.ending.astype(np.int64) + p.frequent
+            fixed = np.isin(b.words, m.units.frequent)
+            unit[fixed] = np.searchsorted(m.units.frequent, b.words[fixed])
+            code = np.where(b.n > 0, m.cls[unit] + p.classes * fixed, 2 * p.classes)
+            yield from b.classes(code, p).to_batches()
 
     return run
 
 
 class _Chunk:
-    """A chunk whose seen words have their classes and counts; unseen words have those of their ending and none."""
+    """A chunk whose words have their classes; words that training rows lack have that of their ending."""
 
     def __init__(self, m: Model, coded: pa.Table, known: pa.Table) -> None:
-        flat = {k: coded.column(k).combine_chunks().flatten() for k in coded.column_names if k not in ("chunk", "seq")}
-        self.doc_id, self.words = flat.get("doc_id"), flat.get("words")
-        self.held, self.first, self.ending = flat["held_out"].to_numpy(zero_copy_only=False).astype(bool), flat["first"].to_numpy().astype(np.int64), flat["ending"].to_numpy().astype(np.int64)
-        self.seq = np.frombuffer(coded.column("seq")[0].as_py(), dtype=np.int32).astype(np.int64)
-        self.cls = m.cls[self.ending + m.units.p.frequent]
-        self.n, self.fixed = np.zeros(len(self.ending), np.int64), np.zeros(len(self.ending), bool)
-        if known.num_rows:
-            at = known.column("place").to_numpy()
-            self.cls[at], self.n[at], self.fixed[at] = (known.column(k).to_numpy() for k in ("cls", "n", "fixed"))
+        p = m.units.p
+        flat = {k: coded.column(k).combine_chunks().flatten() for k in ("doc_id", "first", "held_out") if k in coded.column_names}
+        self.doc_id = flat.get("doc_id")
+        self.held, self.first = flat["held_out"].to_numpy(zero_copy_only=False).astype(bool), flat["first"].to_numpy().astype(np.int64)
+        self.ending = np.frombuffer(coded.column("ending")[0].as_buffer(), dtype=_ending_type(p)).astype(np.int64)
+        self.seq = np.frombuffer(coded.column("seq")[0].as_buffer(), dtype=_place_type(len(self.ending))).astype(np.int64)
+        self.known = known.sort_by("bucket")
+        code, self.sizes = _joined(self.known.column("cls"), _code_type(p))
+        code = code.astype(np.int64)
+        self.unseen, self.fixed = code == 2 * p.classes, (code >= p.classes) & (code < 2 * p.classes)
+        self.cls = np.where(self.unseen, m.cls[self.ending + p.frequent], code % p.classes)
 
     def training(self) -> np.ndarray:
         """Places of the words of training rows, ends before and after each row."""
@@ -359,66 +476,79 @@ class _Chunk:
         return out
 
 
-def _code_type(p: BrownLM) -> type:
-    return np.uint8 if 2 * p.classes < 256 else np.uint16
-
-
-_BESIDE = "word long, ending short, n long, cls short, beside binary, pair int, times long"
+def _empty(schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+    return pa.schema([(k, kinds[t]) for k, t in (c.split() for c in schema.split(", "))]).empty_table()
 
 
 def _beside(model):
     """What stands beside the words of a chunk that may move: the class after, that before plus
-    ``classes``, or twice ``classes`` for the word itself, an entry a time; and pairs of classes."""
+    ``classes``, or twice ``classes`` for the word itself, an entry a time; a row for each bucket."""
 
     def run(coded: pa.Table, known: pa.Table) -> pa.Table:
         m: Model = model.value
         p = m.units.p
-        types = pa.schema([("word", pa.int64()), ("ending", pa.int16()), ("n", pa.int64()), ("cls", pa.int16()), ("beside", pa.binary()), ("pair", pa.int32()), ("times", pa.int64())])
-        if not coded.num_rows:
-            return types.empty_table()
+        if not coded.num_rows or not known.num_rows:
+            return _empty(_BESIDE)
         c = _Chunk(m, coded, known)
         seq = c.training()
         cls = np.append(c.cls, p.classes - 1)[seq]
-        total = np.bincount(cls[:-1] * p.classes + cls[1:], minlength=p.classes**2)
-        pair = np.flatnonzero(total)
         free = np.append(~c.fixed, False)[seq]
         left, right, same = seq[:-1], seq[1:], seq[:-1] == seq[1:]
         l, r, o = free[:-1] & ~same, free[1:] & ~same, free[:-1] & same
         word = np.concatenate((left[l], right[r], left[o]))
         code = np.concatenate((cls[1:][l], cls[:-1][r] + p.classes, np.full(o.sum(), 2 * p.classes))).astype(_code_type(p))
-        order = np.argsort(word, kind="stable")
-        at, start = np.unique(word[order], return_index=True)
-        width = code.itemsize
-        offsets = np.append(start, len(word)).astype(np.int32) * width
-        data = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(code[order].tobytes())])
-        moved = pa.table([c.words.take(pa.array(at)), pa.array(c.ending[at].astype(np.int16)), pa.array(c.n[at]), pa.array(c.cls[at].astype(np.int16)), data, pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.int64())], schema=types)
-        pairs = pa.table([*(pa.nulls(len(pair), t.type) for t in list(types)[:5]), pa.array(pair.astype(np.int32)), pa.array(total[pair])], schema=types)
-        return pa.concat_tables([moved, pairs])
+        many = np.bincount(word, minlength=len(c.ending))
+        start, edges = np.concatenate(([0], np.cumsum(many))), np.concatenate(([0], np.cumsum(c.sizes)))
+        many = many.astype(np.uint16 if not len(many) or many.max() < 1 << 16 else np.uint32)
+        columns = [c.known.column("bucket").combine_chunks(), pa.array(np.full(len(c.sizes), coded.column("chunk")[0].as_py())), pa.nulls(len(c.sizes), pa.binary()), _cells(many, edges), _cells(code[np.argsort(word, kind="stable")], start[edges])]
+        return pa.table(columns, names=["bucket", "chunk", "cls", "sizes", "codes"])
+
+    return run
+
+
+def _pairs(model):
+    """Pairs of classes of the training rows of a chunk."""
+
+    def run(coded: pa.Table, known: pa.Table) -> pa.Table:
+        m: Model = model.value
+        if not coded.num_rows:
+            return _empty("pair int, times long")
+        cls = np.append((c := _Chunk(m, coded, known)).cls, m.units.p.classes - 1)[c.training()]
+        total = np.bincount(cls[:-1] * m.units.p.classes + cls[1:])
+        pair = np.flatnonzero(total)
+        return pa.table([pa.array(pair.astype(np.int32)), pa.array(total[pair])], names=["pair", "times"])
 
     return run
 
 
 def _move(gains, p: BrownLM):
-    """Words (word, ending, n, cls, all that stands beside) where the likelihood is largest."""
+    """A bucket's words where the likelihood is largest, by all that stands beside them in all chunks."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(state: pa.Table, rows: pa.Table) -> pa.Table:
+        if not state.num_rows:
+            return _empty(_CLASSES)
         g, size = gains.value, 2 * p.classes + 1
-        for whole in batches:
-            for start in range(0, whole.num_rows, 2048):
-                batch = whole.slice(start, 2048)
-                lists = batch.column(4)
-                parts = lists.flatten()
-                where = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-                width = np.dtype(_code_type(p)).itemsize
-                n = np.array([len(x) for x in parts.to_pylist()], dtype=np.int64) // width
-                code = np.frombuffer(b"".join(parts.to_pylist()), dtype=_code_type(p)).astype(np.int64)
-                beside = np.bincount(np.repeat(where, n) * size + code, minlength=batch.num_rows * size).reshape(-1, size).astype(float)
-                cls = batch.column(3).to_numpy().astype(np.int64)
-                gain = g.of(cls, beside[:, : p.classes], beside[:, p.classes : -1], beside[:, -1])
-                gain[:, p.classes - 1] = -np.inf
-                best = np.argmax(gain, axis=1)
-                best = np.where(gain[np.arange(len(cls)), best] > 1e-9, best, cls)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(best.astype(np.int16)), pa.array(np.zeros(len(cls), bool))], names=["word", "ending", "n", "cls", "fixed"])
+        b = _Bucket(lambda name: state.column(name)[0], p)
+        own = rows.filter(pa.compute.equal(rows.column("chunk"), _WORDS))
+        code = np.frombuffer(own.column("cls")[0].as_buffer(), dtype=_code_type(p)).astype(np.int64)
+        rows = rows.filter(pa.compute.not_equal(rows.column("chunk"), _WORDS)).sort_by("chunk")
+        cells = [x.as_buffer() for x in rows.column("sizes")]
+        sizes = np.concatenate([*(np.frombuffer(x, dtype=np.uint32 if len(x) == 4 * n else np.uint16).astype(np.int64) for x, n in zip(cells, b.sizes, strict=True)), np.zeros(0, np.int64)])
+        beside, _ = _joined(rows.column("codes"), _code_type(p))
+        owner = np.repeat(b.place, sizes)
+        order = np.argsort(owner, kind="stable")
+        owner, beside = owner[order], beside[order]
+        movable = np.flatnonzero(code < p.classes)
+        for at in range(0, len(movable), 1024):
+            words = movable[at : at + 1024]
+            lo, hi = np.searchsorted(owner, [words[0], words[-1] + 1])
+            counts = np.bincount((owner[lo:hi] - words[0]) * size + beside[lo:hi], minlength=(words[-1] - words[0] + 1) * size).reshape(-1, size)[words - words[0]].astype(float)
+            gain = g.of(code[words], counts[:, : p.classes], counts[:, p.classes : -1], counts[:, -1])
+            gain[:, p.classes - 1] = -np.inf
+            best = np.argmax(gain, axis=1)
+            code[words] = np.where(gain[np.arange(len(words)), best] > 1e-9, best, code[words])
+        return b.classes(code, p)
 
     return run
 
@@ -432,10 +562,12 @@ def _classed(model):
     def run(coded: pa.Table, known: pa.Table) -> pa.Table:
         m: Model = model.value
         p = m.units.p
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "seen", "classes"]
         if not coded.num_rows:
-            return pa.schema(list(zip(names, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())))).empty_table()
-        c = _Chunk(m, coded, known)
+            return _empty(_CLASSED)
+        counted = known.filter(known.column("few").is_valid()).sort_by("bucket")
+        c = _Chunk(m, coded, known.filter(known.column("cls").is_valid()))
+        n = _joined(counted.column("few"), np.uint16)[0].astype(np.int64)
+        n[n == 0xFFFF] = _joined(counted.column("many"), np.int64)[0]
         floor = np.log10(float(m.tokens) + m.distinct + 1) if m.tokens else 0.0
         sizes = np.diff(c.first)
         rows = np.repeat(np.arange(len(sizes)), sizes)
@@ -443,12 +575,11 @@ def _classed(model):
         def total(x: np.ndarray) -> np.ndarray:
             return np.bincount(rows, x[c.seq], len(sizes)).astype(float)
 
-        base = total(np.log10(c.n + 1.0)) + np.log10(m.ends + 1.0) - floor * (sizes + 1)
-        seen = total(np.where(c.n > 0, np.log10(np.maximum(c.n - m.discount, 1e-9)), 0.0))
-        known_n = total((c.n > 0).astype(float)).astype(np.int64) + (m.ends > 0)
-        code = (c.cls + p.classes * (c.n == 0))[c.seq].astype(_code_type(p))
-        data = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((c.first * code.itemsize).astype(np.int32).tobytes()), pa.py_buffer(code.tobytes())])
-        return pa.table([c.doc_id, pa.array(c.held), pa.array((sizes + 1).astype(np.int64)), pa.array(known_n), pa.array(base), pa.array(seen), data], names=names)
+        base = total(np.log10(n + 1.0)) + np.log10(m.ends + 1.0) - floor * (sizes + 1)
+        seen = total(np.where(n > 0, np.log10(np.maximum(n - m.discount, 1e-9)), 0.0))
+        known_n = total((n > 0).astype(float)).astype(np.int64) + (m.ends > 0)
+        code = (c.cls + p.classes * c.unseen)[c.seq].astype(_code_type(p))
+        return pa.table([c.doc_id, pa.array(c.held), pa.array((sizes + 1).astype(np.int64)), pa.array(known_n), pa.array(base), pa.array(seen), _cells(code, c.first)], names=[x.split()[0] for x in _CLASSED.split(", ")])
 
     return run
 
@@ -465,19 +596,6 @@ def _steps(column: pa.Array, p: BrownLM) -> tuple[np.ndarray, np.ndarray, np.nda
     return seq, inside, code >= p.classes, ends
 
 
-def _count_classes(p: BrownLM):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(p.classes**2, dtype=np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                seq, *_ = _steps(batch.column(0).slice(at, 1024), p)
-                total += np.bincount(seq[:-1] * p.classes + seq[1:], minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["pair", "times"])
-
-    return run
-
-
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
@@ -502,8 +620,25 @@ def _joint(pairs: DataFrame, p: BrownLM) -> np.ndarray:
     return joint.reshape(p.classes, p.classes)
 
 
+def _words_with_classes(p: BrownLM):
+    """(word, ending, n, cls, fixed) of a bucket's training words."""
+
+    def run(state: pa.Table, rows: pa.Table) -> pa.Table:
+        b = _Bucket(lambda name: state.column(name)[0], p)
+        code = np.frombuffer(rows.column("cls")[0].as_buffer(), dtype=_code_type(p)).astype(np.int64)
+        k = np.flatnonzero(b.n > 0)
+        return pa.table([pa.array(b.words[k].view(np.int64)), pa.array(b.ending[k].astype(np.int16)), pa.array(b.n[k]), pa.array((code[k] % p.classes).astype(np.int16)), pa.array(code[k] >= p.classes)], names=["word", "ending", "n", "cls", "fixed"])
+
+    return run
+
+
 def learn(spark: SparkSession, docs: DataFrame, p: BrownLM, scratch: Scratch) -> tuple[Model, DataFrame, DataFrame]:
-    """The model, the table of all training words (word, ending, n, cls, fixed), and the classed rows of ``docs``."""
+    """The model, the table of all training words (word, ending, n, cls, fixed), and the classed rows of ``docs``.
+
+    Words are dealt to buckets by ranges of hashes, about ``bucket`` entries (a word of a chunk) each; what
+    goes between chunks and buckets are cells of bytes, a row for each pair: two for what stands beside a
+    word, one for a class.
+    """
 
     def cut(df: DataFrame, name: str) -> DataFrame:
         """A cut table; the shuffle files behind it go when the driver's JVM sees that nothing holds them."""
@@ -511,46 +646,45 @@ def learn(spark: SparkSession, docs: DataFrame, p: BrownLM, scratch: Scratch) ->
         spark._jvm.System.gc()
         return out
 
-    coded = scratch.cut(docs.mapInArrow(_encode(p), _CODED), "coded")
-    words = coded.select("chunk", "words", "ending", "n").mapInArrow(_words_of, "chunk long, place int, word long, ending short, n long")
-    counts = cut(words.where("n > 0").groupBy("word", "ending").agg(F.sum("n").alias("n")), "counts")
+    whole = cut(docs.mapInArrow(_encode(p), _CODED), "coded")
+    entries = whole.agg(F.sum(F.octet_length("words") / 8)).first()[0] or 0
+    buckets = max(spark.sparkContext.defaultParallelism, -(-int(entries) // p.bucket))
+    spread = whole.select("chunk", "words", "ending", "n").mapInArrow(_spread(p, buckets), _SPREAD)
+    state = cut(spread.groupBy("bucket").applyInArrow(_gather(p), _STATE), "state")
+    coded = cut(whole.drop("words", "n"), "places")
+    scratch.drop(whole)
+    counts = state.mapInArrow(_counts(p), "word long, ending short, n long")
     m = fit(spark, docs.where("NOT held_out").select("text"), counts, p)
     sent = spark.sparkContext.broadcast(m)
-    classes = scratch.cut(counts.mapInArrow(_first_classes(sent), _CLASSES), "classes")
-    frequent = classes.where("fixed")
+    classes = cut(state.mapInArrow(_first_classes(sent), _CLASSES), "classes")
+
+    def by_chunk(columns: list[str], known: DataFrame, run, schema: str) -> DataFrame:
+        return coded.select("chunk", "held_out", "first", "ending", "seq", *columns).groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(run, schema)
 
-    def with_words(column: str, words: DataFrame, run, schema: str, name: str) -> DataFrame:
-        known = words.select("chunk", "place", "word").join(classes, "word").select("chunk", "place", "cls", "n", "fixed")
-        chunks = coded.select("chunk", column, "held_out", "first", "ending", "seq")
-        return cut(chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(run, schema), name)
+    def joint_of(classes: DataFrame) -> np.ndarray:
+        return _joint(by_chunk([], classes.where("chunk >= 0"), _pairs(sent), "pair int, times long"), p)
 
-    joint, best, before = m.joint, likelihood(m.joint), None
+    joint, best = m.joint, likelihood(m.joint)
     for _ in range(p.rounds if m.tokens else 0):
-        beside = with_words("words", words.where("n > 0"), _beside(sent), _BESIDE, "beside")
-        if before is not None:
-            joint = _joint(beside.where("pair IS NOT NULL"), p)
-            if (now := likelihood(joint)) < best:
-                classes, before = before, None
-                scratch.drop(beside)
-                break
-            best = now
-        whole = beside.where("pair IS NULL").groupBy("word", "ending", "n", "cls").agg(F.collect_list("beside").alias("beside"))
-        moved = whole.mapInArrow(_move(spark.sparkContext.broadcast(Gains(joint)), p), _CLASSES)
-        before, classes = classes, cut(moved.unionByName(frequent), "classes")
-        scratch.drop(beside)
-    while True:
-        classed = with_words("doc_id", words, _classed(sent), _CLASSED, "classed")
-        joint = _joint(classed.where("NOT held_out").select("classes").mapInArrow(_count_classes(p), "pair int, times long"), p)
-        if before is None or likelihood(joint) >= best:
+        beside = by_chunk([], classes.where("chunk >= 0"), _beside(sent), _BESIDE)
+        own = classes.where(f"chunk = {_WORDS}").select("bucket", "chunk", "cls", F.lit(None).cast("binary").alias("sizes"), F.lit(None).cast("binary").alias("codes"))
+        gains = spark.sparkContext.broadcast(Gains(joint))
+        moved = cut(state.groupBy("bucket").cogroup(beside.unionByName(own).groupBy("bucket")).applyInArrow(_move(gains, p), _CLASSES), "classes")
+        new = joint_of(moved)
+        if likelihood(new) < best:
+            scratch.drop(moved)
             break
-        scratch.drop(classed)
-        classes, before = before, None
-    sums = classes.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("words")).toPandas()
-    class_n, class_words = np.zeros(p.classes), np.zeros(p.classes)
-    at = sums["cls"].to_numpy(dtype=np.int64)
-    class_n[at], class_words[at] = sums["n"], sums["words"]
+        scratch.drop(classes)
+        classes, joint, best = moved, new, likelihood(new)
+    counted = state.mapInArrow(_chunk_counts(p), "bucket int, chunk long, few binary, many binary")
+    nothing = F.lit(None).cast("binary")
+    known = classes.where("chunk >= 0").select("bucket", "chunk", "cls", nothing.alias("few"), nothing.alias("many")).unionByName(counted.select("bucket", "chunk", nothing.alias("cls"), "few", "many"))
+    classed = cut(by_chunk(["doc_id"], known, _classed(sent), _CLASSED), "classed")
+    sums = [np.frombuffer(r["cls"], dtype=np.int64) for r in classes.where(f"chunk = {_SUMS}").select("cls").toLocalIterator()]
+    class_n, class_words = np.sum([np.zeros(2 * p.classes, np.int64), *sums], axis=0).reshape(2, -1).astype(float)
     transition, log_class, log_unseen = _tables(joint, class_n, class_words, m.discount)
-    return replace(m, transition=transition, log_class=log_class, log_unseen=log_unseen, joint=joint), classes, classed
+    found = state.groupBy("bucket").cogroup(classes.where(f"chunk = {_WORDS}").groupBy("bucket")).applyInArrow(_words_with_classes(p), "word long, ending short, n long, cls short, fixed boolean")
+    return replace(m, transition=transition, log_class=log_class, log_unseen=log_unseen, joint=joint), found, classed
 
 
 def score(spark: SparkSession, docs: DataFrame, held_out, p: BrownLM = BrownLM()) -> DataFrame:
@@ -562,5 +696,7 @@ def score(spark: SparkSession, docs: DataFrame, held_out, p: BrownLM = BrownLM()
     returned as it is.  Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    model, _, classed = learn(spark, docs, p, Scratch(spark, "brown"))
+    scratch = Scratch(spark, "brown")
+    model, _, classed = learn(spark, docs, p, scratch)
+    scratch.keep_only(classed)
     return classed.mapInArrow(_score(spark.sparkContext.broadcast(model)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
