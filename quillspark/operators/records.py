@@ -82,11 +82,15 @@ def raw_body(df: DataFrame, bodies: Sequence[str] = ("raw_body", "body", "normal
     return F.coalesce(*have, F.to_json(F.struct(*rest)))
 
 
+def _over(old: Column, new: Column) -> Column:
+    return F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)
+
+
 def merge_maps(*maps: Column) -> Column:
     """One map; of equal keys the last counts."""
     out = maps[0]
     for m in maps[1:]:
-        out = F.map_concat(F.map_filter(out, lambda k, _, m=m: ~F.map_contains_key(m, k)), m)
+        out = _over(out, m)
     return out
 
 
@@ -131,7 +135,7 @@ def identities(df: DataFrame) -> Column:
     field = F.coalesce(first_filled(df, "field_name"), F.lit(""))
     strong = F.array_compact(F.array(F.concat_ws("|", F.lit("candidate"), first_filled(df, "candidate_id"), field), F.concat_ws("|", F.lit("strategy"), first_filled(df, "strategy_id"), field)))
     strong = F.filter(strong, lambda x: F.size(F.split(x, r"\|")) == 3)
-    weak = F.coalesce(F.concat(F.lit("name|"), text.fold_ascii(first_filled(df, "canonical_name"))), F.concat(F.lit("item|"), first_filled(df, "item_id")))
+    weak = F.coalesce(F.concat(F.lit("name|"), F.nullif(text.fold_ascii(first_filled(df, "canonical_name")), F.lit(""))), F.concat(F.lit("item|"), first_filled(df, "item_id")))
     return F.when(F.size(strong) > 0, strong).otherwise(F.array_compact(F.array(weak)))
 
 

@@ -6,7 +6,6 @@ operator expects; the adapters are the ``select`` lists at the top of each funct
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,30 +13,14 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import html, text, timing, urls
 from quillspark.operators import briefing, delivery, evidence, gate, lint, metrics, novelty, relevance, routing, scoring, states, versions
+from quillspark.register import ORACLES, QUERIES, query, table
 from quillspark.sources import guards, readers, robots
 from quillspark.sources.retry import RetryPolicy
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 FIRST, LAST = datetime(2024, 1, 1), datetime(2024, 2, 5)
 WEEK = ("window_start",)
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("window_start", timing.window_start(F.col("ts"), FIRST))
 
@@ -211,9 +194,9 @@ def relevance_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.array_join(f"{n}_terms", ",").alias(f"{n}_terms") for n in relevance.SIGNALS], "relevance")
 
 
-@query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60))")
+@query("SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def evidence_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole benchmark items as quotes, found in all documents; the SQL still looks for their first 60 characters."""
+    """Whole benchmark items as quotes, found in all documents."""
     quotes = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return evidence.contained(quotes, docs).select("item_id", "doc_id")
@@ -444,9 +427,16 @@ def normalize_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", urls.normalize_url("url").alias("url"))
 
 
-@query()
+_UNESCAPED = "replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"')"
+
+
+@query(f"""
+SELECT page_id, trim(regexp_replace(replace({_UNESCAPED.format("regexp_extract(html, '<title>(.*?)</title>', 1)")}, '&amp;', '&'), '\\s+', ' ', 'g')) AS title,
+       {_UNESCAPED.format("regexp_replace(regexp_replace(html, '<script>.*?</script>', '', 'gs'), '<!DOCTYPE html>|<!--.*?-->', '', 'gs')")} AS body
+FROM pages
+""")
 def sanitize_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages made inert, with their titles."""
+    """All pages made inert, with their titles; the SQL knows the markup that these pages hold."""
     return table(spark, sf_dir, "pages").select("page_id", html.html_title("html").alias("title"), html.sanitize_html("html").alias("body"))
 
 
@@ -525,3 +515,9 @@ def delivery_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = text.idempotency_key(F.col("user_id").cast("string"), F.col("event_type"), F.sha2(F.lit("x"), 256))
     history = pairs.select(key.alias("idempotency_key"), "attempt_no")
     return delivery.plan(messages, history).select("user_id", "event_type", F.col("attempt_no").cast("long").alias("attempt_no"))
+
+
+# the modules below add their own queries
+from quillspark import function_queries, report_queries, source_queries  # noqa: E402, F401
+
+__all__ = ["ORACLES", "QUERIES"]
