@@ -4,14 +4,19 @@ A window is ``window`` consecutive words.  Every word is removed that a window c
 also start a window of a document with a smaller id.  The steps:
 
 1. Documents with equal words form a class; all but its smallest id are repeats from end to end.
-2. Equal windows have equal minimizers, so only windows whose minimizer occurs in two documents can
-   repeat.  Their starts are the suffixes that go on; no repeat is lost.
-3. A suffix is cut at ``window`` words and written as a few symbols, each the hash of a run of
-   words.  Suffixes are split by their first symbol; a prefix that too many suffixes share is split
-   by one symbol more, and at full depth by a salt, a copy of its first suffix going to each part.
-4. Each part is sorted, which lays out its suffix tree: equal leading symbols of neighbours are the
-   depth of their common node.  Nodes as deep as the window with leaves of two documents are the
-   repeats.  A part is read as a stream, so its size is no bound on memory.
+2. A window's minimizer is the least hash of its grams of ``gram`` words, the leftmost of equal ones.
+   Equal windows have equal minimizers, so only windows whose minimizer occurs in two documents can
+   repeat.  Neighbouring windows with one and the same minimizer make a span of text; their starts are
+   the suffixes that go on, no repeat is lost, and a span is read by one task only.
+3. Spans are dealt by that gram, which all their windows hold: a prefix that groups suffixes.  A group
+   of at most ``part`` spans is small enough for memory: its suffixes are put in order by prefix doubling,
+   with the words that neighbours share, which is the suffix tree of the group.  An inner node as deep as
+   the window with leaves of two documents is a repeat; the deepest one of each suffix gives a maximal
+   repeat, as long as its words agree.
+4. A gram that too many spans share is too short a prefix.  The windows of such spans are dealt by longer
+   ones, runs of their own words written as a few symbols, one more at each depth, and at full depth by a
+   salt, a copy of the first suffix going to each part.  A part is read in order, as a stream, so its size
+   is no bound on memory.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ class SuffixDedup:
     gram: int = 8
     #: Symbols of a suffix.
     symbols: int = 3
-    #: Suffixes in a part before its prefix is lengthened.
+    #: Spans in a group, and suffixes in a part, before the prefix is lengthened.
     part: int = 8192
     #: A join's side is broadcast only up to so many values (4 to 8 bytes each).
     broadcast_values: int = 4_000_000
@@ -83,22 +88,179 @@ def _profile(p: SuffixDedup):
     return run
 
 
-def _suffixes(p: SuffixDedup):
+def argminima(grams: np.ndarray, n: int) -> np.ndarray:
+    """The place of the least of every ``n`` neighbours, the leftmost of equal ones."""
+    place, step = np.arange(len(grams)), 1
+
+    def less(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.where(grams[a] <= grams[b], a, b)
+
+    while step * 2 <= n:
+        place = less(place[:-step], place[step:])
+        step *= 2
+    return less(place[: len(place) - (n - step)], place[n - step :]) if n > step else place
+
+
+_SPANS = "doc_id long, gram long, at int, n int, text string"
+
+
+def _spans(p: SuffixDedup):
+    """Spans of text whose ``n`` windows, the first at word ``at``, share one place of a wanted minimizer."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "start", *(f"s{i}" for i in range(p.symbols))]
         for batch in batches:
             for part in W.chunks(batch):
                 words = W.Words(part.column(1), fold=False)
-                runs = [W.grams(words.hashes, hi - lo) for lo, hi in zip(p.cuts[:-1], p.cuts[1:], strict=True)]
+                raw = words.data.tobytes()
+                out: tuple[list, ...] = ([], [], [], [], [])
                 for i, (lo, hi) in enumerate(zip(words.first[:-1], words.first[1:], strict=True)):
                     if hi - lo < p.window:
                         continue
-                    wanted = np.asarray(part.column(2)[i].values, dtype=np.int64).view(np.uint64)
-                    at = np.flatnonzero(np.isin(_minimizers(words, lo, hi, p), wanted))
-                    if len(at):
-                        symbols = [pa.array(r[lo + at + c].view(np.int64)) for r, c in zip(runs, p.cuts, strict=False)]
-                        ids = pa.array(np.full(len(at), part.column(0)[i].as_py(), dtype=np.int64))
-                        yield pa.RecordBatch.from_arrays([ids, pa.array(at.astype(np.int32)), *symbols], names=names)
+                    grams = W.grams(words.hashes[lo:hi], min(p.gram, p.window))
+                    place = argminima(grams, max(1, p.window - p.gram + 1))
+                    first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+                    last = np.append(first[1:], len(place)) - 1
+                    gram = grams[place[first]]
+                    ok = np.isin(gram, np.asarray(part.column(2)[i].values, dtype=np.int64).view(np.uint64))
+                    first, last = first[ok], last[ok]
+                    begin, end = words.starts[lo + first].tolist(), words.ends[lo + last + p.window - 1].tolist()
+                    new = ([part.column(0)[i].as_py()] * len(first), gram[ok].view(np.int64).tolist(), first.tolist(), (last - first + 1).tolist(), [raw[x:y] for x, y in zip(begin, end, strict=True)])
+                    for x, v in zip(out, new, strict=True):
+                        x.extend(v)
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                cells = [pa.array(x, k) for x, k in zip(out, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*cells[:4], cells[4].cast(pa.string())], names=["doc_id", "gram", "at", "n", "text"])
+
+    return run
+
+
+class Subtrees:
+    """The suffix trees of some groups of spans: suffixes in order, and the words that neighbours share.
+
+    ``ids`` are the words of all spans, ``first`` the edges of each; of span ``i`` the suffixes that start
+    at its first ``starts[i]`` words take part, in the tree of ``group[i]``.
+    """
+
+    def __init__(self, ids: np.ndarray, first: np.ndarray, starts: np.ndarray, group: np.ndarray) -> None:
+        spans, size = len(starts), np.diff(first)
+        begin = first[:-1] + np.arange(spans)
+        # a word of its own ends each span, so nothing is shared beyond it
+        rank = np.zeros(len(ids) + spans, dtype=np.int64)
+        inside = np.ones(len(rank), dtype=bool)
+        inside[begin + size] = False
+        rank[inside] = ids
+        rank[~inside] = (int(ids.max()) if len(ids) else 0) + 1 + np.arange(spans)
+        ranks, h = [rank], 1
+        while h <= (int(size.max()) if spans else 0):
+            follow = np.zeros(len(rank), dtype=np.int64)
+            follow[:-h] = rank[h:] + 1
+            rank = np.unique(rank * (len(rank) + len(ids) + 2) + follow, return_inverse=True)[1]
+            ranks.append(rank)
+            h *= 2
+        self.span = np.repeat(np.arange(spans), starts)
+        self.offset = np.arange(len(self.span)) - np.repeat(np.cumsum(starts) - starts, starts)
+        place = begin[self.span] + self.offset
+        order = np.lexsort((rank[place], group[self.span]))
+        self.span, self.offset, place = self.span[order], self.offset[order], place[order]
+        #: Words that each suffix shares with the one before it: the depth of their common node.
+        self.common = np.zeros(len(place), dtype=np.int64)
+        at = np.flatnonzero(group[self.span[1:]] == group[self.span[:-1]]) + 1
+        shared = np.zeros(len(at), dtype=np.int64)
+        for k in range(len(ranks) - 1, -1, -1):
+            a, b = place[at - 1] + shared, place[at] + shared
+            same = (a < len(rank)) & (b < len(rank))
+            same[same] = ranks[k][a[same]] == ranks[k][b[same]]
+            shared += same << k
+        self.common[at] = shared
+
+    def deepest(self, least: int, doc: np.ndarray) -> np.ndarray:
+        """For each suffix the depth of the deepest node, ``least`` or more, with a leaf of a smaller ``doc``; else 0."""
+        out = np.zeros(len(self.span), dtype=np.int64)
+        # only suffixes that share so much with a neighbour hang on a deep node
+        after = np.append(self.common[1:], 0)
+        deep = np.flatnonzero((self.common >= least) | (after >= least))
+        if not len(deep):
+            return out
+        common, mine = np.where(np.diff(deep, prepend=-2) == 1, self.common[deep], 0), doc[self.span[deep]]
+        for depth in np.unique(common[common >= least]).tolist():
+            node = np.flatnonzero(common < depth)
+            if not len(node) or node[0]:
+                node = np.concatenate(([0], node))
+            low = np.repeat(np.minimum.reduceat(mine, node), np.diff(np.append(node, len(deep))))
+            out[deep[mine > low]] = depth
+        return out
+
+
+def maximal(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Which stretches lie in no other stretch of the same document, in order of document and place."""
+    order = np.lexsort((-stop, start, doc))
+    doc, stop = doc[order], stop[order]
+    number = np.cumsum(np.concatenate(([0], doc[1:] != doc[:-1])))
+    reach = np.maximum.accumulate(number * (1 << 40) + stop)
+    before = np.concatenate(([-1], reach[:-1]))
+    return order[number * (1 << 40) + stop > before]
+
+
+def _trees_of(rows: pa.Table, p: SuffixDedup) -> pa.RecordBatch:
+    """(doc_id, start, stop): maximal repeats of whole groups of spans."""
+    doc, gram, at, n = (rows.column(k).to_numpy() for k in ("doc_id", "gram", "at", "n"))
+    words = W.Words(rows.column("text").combine_chunks(), fold=False)
+    group = np.cumsum(np.concatenate(([0], gram[1:] != gram[:-1])))
+    tree = Subtrees(np.unique(words.hashes, return_inverse=True)[1], words.first, n.astype(np.int64), group)
+    depth = tree.deepest(p.window, doc)
+    k = np.flatnonzero(depth)
+    docs, start = doc[tree.span[k]], at[tree.span[k]] + tree.offset[k]
+    stop = start + depth[k]
+    top = maximal(docs, start, stop)
+    return pa.RecordBatch.from_arrays([pa.array(docs[top]), pa.array(start[top].astype(np.int32)), pa.array(stop[top].astype(np.int32))], names=["doc_id", "start", "stop"])
+
+
+def _subtrees(p: SuffixDedup):
+    """Maximal repeats of groups, which come in order; as many whole groups at once as ``part`` spans allow."""
+
+    def pieces(table: pa.Table) -> Iterator[pa.Table]:
+        gram = table.column("gram").to_numpy()
+        edges = np.concatenate(([0], np.flatnonzero(gram[1:] != gram[:-1]) + 1, [len(gram)]))
+        lo = 0
+        while lo < len(gram):
+            hi = int(edges[max(np.searchsorted(edges, lo + p.part, side="right") - 1, np.searchsorted(edges, lo, side="right"))])
+            yield table.slice(lo, hi - lo).combine_chunks()
+            lo = hi
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            rest = pa.concat_tables([rest, table]) if rest is not None else table
+            if rest.num_rows < p.part:
+                continue
+            gram = rest.column("gram").to_numpy()
+            done = int(np.flatnonzero(gram != gram[-1])[-1]) + 1 if gram[0] != gram[-1] else 0
+            for piece in pieces(rest.slice(0, done)):
+                yield _trees_of(piece, p)
+            rest = rest.slice(done)
+        if rest is not None and rest.num_rows:
+            for piece in pieces(rest):
+                yield _trees_of(piece, p)
+
+    return run
+
+
+def _suffixes(p: SuffixDedup):
+    """The windows of spans as suffixes, each with the symbols of its runs of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "start", *(f"s{i}" for i in range(p.symbols))]
+        for batch in batches:
+            for part in W.chunks(batch):
+                words = W.Words(part.column(4), fold=False)
+                runs = [W.grams(words.hashes, hi - lo) for lo, hi in zip(p.cuts[:-1], p.cuts[1:], strict=True)]
+                n = part.column(3).to_numpy().astype(np.int64)
+                offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                place = np.repeat(words.first[:-1], n) + offset
+                start = (np.repeat(part.column(2).to_numpy(), n) + offset).astype(np.int32)
+                symbols = [pa.array(r[place + c].view(np.int64)) for r, c in zip(runs, p.cuts, strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), n)), pa.array(start), *symbols], names=names)
 
     return run
 
@@ -109,7 +271,8 @@ def deep_nodes(symbols: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.logical_and.accumulate(equal, axis=0).sum(axis=0))) if symbols.shape[1] else np.zeros(0, int)
 
 
-def _trees(p: SuffixDedup):
+def _leaves(p: SuffixDedup):
+    """Suffixes at full depth under a node whose first leaf is of a smaller document; rows come in order."""
     keys = [f"s{i}" for i in range(p.symbols)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,39 +328,41 @@ def repeats(suffixes: DataFrame, scratch: Scratch, p: SuffixDedup) -> DataFrame:
     """(doc_id, start) of the suffixes that share a node of full depth with a smaller document."""
     keys = [f"s{i}" for i in range(p.symbols)]
     dealt = _dealt(suffixes, scratch, p).repartition("part", "salt").sortWithinPartitions("part", "salt", *keys, "doc_id")
-    return dealt.mapInArrow(_trees(p), "doc_id long, start int")
+    return dealt.mapInArrow(_leaves(p), "doc_id long, start int")
 
 
-def runs(starts: np.ndarray) -> np.ndarray:
-    """Sorted distinct starts as first, end, first, end, ... of their runs, ends not included."""
-    starts = np.unique(starts)
-    if not len(starts):
-        return starts
-    first = np.concatenate(([True], np.diff(starts) > 1))
-    return np.stack((starts[first], np.append(starts[:-1][first[1:]], starts[-1]) + 1), axis=1).ravel()
+def united(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Stretches as first, end, first, end, ... of their union, ends not included."""
+    if not len(start):
+        return np.zeros(0, dtype=np.int64)
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(stop[order])
+    new = np.concatenate(([True], start[1:] > reach[:-1]))
+    return np.stack((start[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(reach) - 1)]), axis=1).ravel()
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [runs(np.asarray(x.values, dtype=np.int32)) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "runs"])
+        cells = (x.values for x in batch.column(1))
+        found = [united(x.field("start").to_numpy(zero_copy_only=False), x.field("stop").to_numpy(zero_copy_only=False)) for x in cells]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32()))], names=["doc_id", "gone"])
 
 
-def covered(n_words: int, found: np.ndarray, window: int) -> np.ndarray:
-    """Which of ``n_words`` words the windows that start in ``found`` runs cover."""
+def covered(n_words: int, edges: np.ndarray) -> np.ndarray:
+    """Which of ``n_words`` words lie between the ``edges`` of a union."""
     step = np.zeros(n_words + 1, dtype=np.int64)
-    np.add.at(step, found[::2], 1)
-    np.add.at(step, np.minimum(found[1::2] - 1 + window, n_words), -1)
+    np.add.at(step, np.minimum(edges[::2], n_words), 1)
+    np.add.at(step, np.minimum(edges[1::2], n_words), -1)
     return np.cumsum(step[:-1]) > 0
 
 
-def _remove(p: SuffixDedup):
+def _remove():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = ([], [], [], [])
             for text, found in zip(batch.column(1), batch.column(2), strict=True):
                 words = (text.as_py() or "").encode().split()
-                gone = covered(len(words), np.asarray(found.values, dtype=np.int64), p.window)
+                gone = covered(len(words), np.asarray(found.values, dtype=np.int64))
                 kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
                 for x, v in zip(out, (len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()), strict=True):
                     x.append(v)
@@ -233,12 +398,20 @@ def dedup_passages(spark: SparkSession, docs: DataFrame, p: SuffixDedup = Suffix
     twice = scratch.cut(marks.groupBy("mark").agg(F.count("*").alias("many")).where("many > 1").select("mark"), "twice")
     wanted = scratch.cut(marks.join(twice, "mark").groupBy("doc_id").agg(F.collect_list("mark").alias("marks")), "wanted")
     texts = docs.join(_few(wanted, "marks", p), "doc_id").select("doc_id", "text", "marks")
-    suffixes = scratch.cut(texts.mapInArrow(_suffixes(p), "doc_id long, start int, " + ", ".join(f"s{i} long" for i in range(p.symbols))), "suffixes")
-    scratch.drop(marks, twice, wanted)
-    found = repeats(suffixes, scratch, p).groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
-    found = scratch.cut(found.mapInArrow(_runs, "doc_id long, runs array<int>"), "repeats")
-    scratch.drop(suffixes)
-    changed = docs.join(_few(found, "runs", p), "doc_id").select("doc_id", "text", "runs").mapInArrow(_remove(p), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    spans = scratch.cut(texts.mapInArrow(_spans(p), _SPANS), "spans")
+    scratch.drop(marks, twice, wanted, classes)
+    heavy = scratch.cut(spans.groupBy("gram").agg(F.count("*").alias("many")).where(F.col("many") > p.part).select("gram"), "heavy")
+    hot = heavy.count()
+    light = spans.join(small(heavy), "gram", "left_anti").select("doc_id", "gram", "at", "n", "text") if hot else spans
+    found = light.repartition("gram").sortWithinPartitions("gram").mapInArrow(_subtrees(p), "doc_id long, start int, stop int")
+    if hot:
+        windows = spans.join(small(heavy), "gram", "left_semi").select("doc_id", "gram", "at", "n", "text")
+        suffixes = scratch.cut(windows.mapInArrow(_suffixes(p), "doc_id long, start int, " + ", ".join(f"s{i} long" for i in range(p.symbols))), "suffixes")
+        found = found.unionByName(repeats(suffixes, scratch, p).select("doc_id", "start", (F.col("start") + p.window).alias("stop")))
+    found = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
+    found = scratch.cut(found.mapInArrow(_united, "doc_id long, gone array<int>"), "repeats")
+    scratch.keep_only(profile, whole, found)
+    changed = docs.join(_few(found, "gone", p), "doc_id").select("doc_id", "text", "gone").mapInArrow(_remove(), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     rest = profile.select("doc_id", "n_words", "kept_sha256").join(small(found.select("doc_id")), "doc_id", "left_anti")
     rest = rest.join(small(whole.select("doc_id", F.lit(True).alias("all"))), "doc_id", "left")
     none = hashlib.sha256(b"").hexdigest()
