@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text, timing
-from quillspark.operators.metrics import TARGETS
+from quillspark.operators.metrics import TARGETS, by_days
 
 SEGMENTS = ("approved", "pending", "carried")
 
@@ -36,21 +36,35 @@ def assemble(occurrences: DataFrame, candidates: DataFrame, previous_items: Data
     candidate_id.  Candidates within the closed window count, and undated ones; candidates that an
     earlier report listed and nobody decided on are carried over.  Those without evidence are left out
     before the cut, and two quotes of each are kept.
+
+    Dated candidates meet windows on days.  Undated ones stand in every report, and a candidate that was
+    listed stands in every later one; of these only the first ``most`` of a segment, and of those first
+    listed at one time, can be among the first ``most`` of a report, so no more of them meet the reports.
     """
-    dated = candidates.withColumn("_at", candidate_time(candidates))
-    inside = F.broadcast(occurrences).join(dated, timing.in_closed(F.col("_at"), F.col("window_start"), F.col("window_end")))
+    quotes = evidence.groupBy("candidate_id").agg(F.array_sort(F.collect_set(F.struct("field_name", "evidence_id", "quote"))).alias("_all"))
+    known = candidates.withColumn("_at", candidate_time(candidates)).join(quotes.select("candidate_id"), "candidate_id", "left_semi")
     decided = F.col("review_status").isin("approved", "published")
-    current = inside.where(decided | F.col("review_status").isin("pending", "needs_review")).withColumn("segment", F.when(decided, "approved").otherwise("pending"))
-    earlier = previous_items.select("candidate_id", F.col("scheduled_for").alias("_before"))
-    listed = F.broadcast(occurrences).join(earlier, F.col("_before") < F.col("scheduled_for")).select(*occurrences.columns, "candidate_id").distinct()
-    carried = listed.join(dated.where(F.col("review_status").isin("pending", "needs_review")), "candidate_id").withColumn("segment", F.lit("carried"))
+    open_ = F.col("review_status").isin("pending", "needs_review")
+    known = known.where(decided | open_).withColumn("segment", F.when(decided, "approved").otherwise("pending"))
+    slots = by_days(occurrences.where("window_start <= window_end"), "window_start", "window_end")
+    inside = (F.to_date("_at") == F.col("_day")) & timing.in_closed(F.col("_at"), F.col("window_start"), F.col("window_end"))
     columns = ["briefing_id", "candidate_id", "segment", "value_score", "created_at"]
-    rows = current.select(*columns).unionByName(carried.select(*columns))
-    quotes = evidence.groupBy("candidate_id").agg(F.array_sort(F.collect_set(F.struct("field_name", "evidence_id", "quote"))).alias("_all"))
-    kept = rows.join(quotes, "candidate_id").withColumn("quotes", F.slice(F.transform("_all", lambda e: e["quote"]), 1, 2)).drop("_all")
-    was = listed.select("briefing_id", "candidate_id").withColumn("_was", F.lit(True))
-    out = ranked(kept, ["briefing_id"], most=most).join(was, ["briefing_id", "candidate_id"], "left")
-    return out.withColumn("carried_over", F.coalesce("_was", F.lit(False)) & (F.col("segment") != "approved")).drop("_was")
+    first = (F.desc_nulls_last("value_score"), F.asc_nulls_first("created_at"), F.asc("candidate_id"))
+
+    def leading(df: DataFrame, *by: str) -> DataFrame:
+        return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*first))).where(F.col("_n") <= most).drop("_n")
+
+    dated = known.where("_at IS NOT NULL").join(slots, inside).select(*columns)
+    undated = leading(known.where("_at IS NULL"), "segment").join(F.broadcast(occurrences.select("briefing_id")), F.lit(True)).select(*columns)
+    listed = previous_items.groupBy("candidate_id").agg(F.min("scheduled_for").alias("_before"))
+    waiting = leading(known.where("segment = 'pending'").join(listed, "candidate_id"), "_before")
+    reports = occurrences.select("briefing_id", "scheduled_for")
+    carried = F.broadcast(waiting).join(reports, F.col("_before") < F.col("scheduled_for")).withColumn("segment", F.lit("carried")).select(*columns)
+    rows = dated.unionByName(undated).unionByName(carried)
+    out = ranked(rows, ["briefing_id"], most=most).join(reports, "briefing_id").join(listed, "candidate_id", "left")
+    was = F.coalesce(F.col("_before") < F.col("scheduled_for"), F.lit(False))
+    out = out.withColumn("carried_over", was & (F.col("segment") != "approved")).drop("_before", "scheduled_for")
+    return out.join(quotes, "candidate_id").withColumn("quotes", F.slice(F.transform("_all", lambda e: e["quote"]), 1, 2)).drop("_all")
 
 
 def source_summary(jobs: DataFrame, by: Sequence[str], status: str = "status", classes: Sequence[str] = ("success", "failed", "not_executed")) -> DataFrame:

@@ -51,27 +51,35 @@ def link(requested: DataFrame, provenance: DataFrame, versions: DataFrame, most:
     return row.withColumn("evidence_error", error).withColumn("evidence_id", F.sha2(F.concat_ws("|", "candidate_id", "field_name", "document_version_id", F.trim("quote")), 256)).drop("_body", "in_limits")
 
 
-def _confirm(places: DataFrame, probes: DataFrame, quote: str, body: str) -> DataFrame:
-    near = places.join(probes.select("_probe").distinct(), "_probe", "left_semi").join(probes, "_probe")
-    return near.where(F.contains(body, quote)).drop("_probe")
+def _confirm(places: DataFrame, probes: DataFrame, docs: DataFrame, quote: str, body: str) -> DataFrame:
+    """Pairs that meet on a probe and hold: places are (_text, _probe), texts come back only for places that meet."""
+    met = places.join(probes.select("_probe").distinct(), "_probe", "left_semi").join(probes, "_probe").drop("_probe")
+    return met.join(docs.withColumn("_text", F.sha2(body, 256)), "_text").where(F.contains(body, quote)).drop("_text")
 
 
 def contained(quotes: DataFrame, docs: DataFrame, quote: str = "quote", body: str = "text") -> DataFrame:
     """All pairs of quotes and documents that hold them, without comparing each with each.
 
-    A quote and a text meet on the quote's longest inner word, one with a space on either side, and each
-    meeting is then confirmed.  Quotes without an inner word meet texts on their first characters, 12 or
-    all they have; without such quotes no text is cut at every place.
+    A quote and a text meet on the inner word of the quote, one with a space on either side, that the
+    fewest texts hold, and each meeting is then confirmed.  Quotes without an inner word meet texts on
+    their first characters, 12 or all they have; without such quotes no text is cut at every place.
+    Texts go by their hash until they meet a quote, so words travel without them.
     """
     inner = F.filter(F.split(quote, " "), lambda w, i: (w != "") & (i > 0) & (i < F.size(F.split(quote, " ")) - 1))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    probes = quotes.withColumn("_probe", longest)
-    by_word = _confirm(docs.withColumn("_probe", F.explode(F.array_distinct(F.split(body, " ")))), probes.where("_probe IS NOT NULL"), quote, body)
-    short = probes.where(F.col("_probe").isNull() & F.col(quote).isNotNull()).withColumn("_probe", F.substring(quote, 1, 12))
-    sizes = short.select(F.length("_probe").alias("_size")).distinct()
+    key = F.sha2(quote, 256)
+    asked = quotes.select(key.alias("_quote"), F.explode(F.array_distinct(inner)).alias("_probe")).distinct()
+    texts = docs.select(F.sha2(body, 256).alias("_text"), F.explode(F.array_distinct(F.split(body, " "))).alias("_probe"))
+    held = texts.join(asked.select("_probe").distinct(), "_probe", "left_semi")
+    seen = held.groupBy("_probe").agg(F.count("*").alias("_n"))
+    # a word that no text holds rules its quote out
+    rarest = asked.join(seen, "_probe", "left").groupBy("_quote").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_probe").alias("w"))).alias("_best")).where("_best.n > 0").select("_quote", F.col("_best.w").alias("_probe"))
+    by_word = _confirm(held.distinct(), quotes.withColumn("_quote", key).join(rarest, "_quote").drop("_quote"), docs, quote, body)
+    short = quotes.where((F.size(inner) == 0) & F.col(quote).isNotNull()).withColumn("_probe", F.substring(quote, 1, 12))
+    sizes = short.select(F.length("_probe").alias("_size")).distinct()  # at most 13 rows
     starts = F.sequence(F.lit(1), F.greatest(F.length(body) - F.col("_size") + 1, F.lit(1)))
-    places = docs.join(F.broadcast(sizes), F.length(body) >= F.col("_size")).withColumn("_probe", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(body), i, F.col("_size")))))).drop("_size")
-    return by_word.unionByName(_confirm(places, short, quote, body))
+    cut = docs.join(F.broadcast(sizes), F.length(body) >= F.col("_size"))
+    places = cut.select(F.sha2(body, 256).alias("_text"), F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(body), i, F.col("_size"))))).alias("_probe")).distinct()
+    return by_word.unionByName(_confirm(places, short, docs, quote, body))
 
 
 def contained_by_prefix(quotes: DataFrame, docs: DataFrame, quote: str = "quote", body: str = "text", prefix: int = 12) -> DataFrame:
@@ -82,5 +90,5 @@ def contained_by_prefix(quotes: DataFrame, docs: DataFrame, quote: str = "quote"
     """
     probes = quotes.where(F.length(quote) >= prefix).withColumn("_probe", F.substring(quote, 1, prefix))
     starts = F.sequence(F.lit(1), F.greatest(F.length(body) - prefix + 1, F.lit(1)))
-    places = docs.withColumn("_probe", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(body), i, F.lit(prefix))))))
-    return _confirm(places, probes, quote, body)
+    places = docs.select(F.sha2(body, 256).alias("_text"), F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(body), i, F.lit(prefix))))).alias("_probe")).distinct()
+    return _confirm(places, probes, docs, quote, body)

@@ -34,10 +34,20 @@ def _every(windows: DataFrame, counted: DataFrame, keys: Sequence[str]) -> DataF
     return windows.select(*keys).join(counted, list(keys), "left").na.fill(0)
 
 
+def by_days(windows: DataFrame, start: str, end: str) -> DataFrame:
+    """``windows``, a row for each day that one touches, as ``_day``: a range join becomes an equi-join on days."""
+    return windows.withColumn("_day", F.explode(F.sequence(F.to_date(start), F.to_date(end))))
+
+
 def in_windows(df: DataFrame, at: str, windows: DataFrame, how: str = "inner") -> DataFrame:
-    """``df`` with the window_id of each window (window_id, start, end) that its time ``at`` lies in; the end does not belong."""
-    w = F.broadcast(windows.select("window_id", F.col("start").alias("_start"), F.col("end").alias("_end")))
-    return df.join(w, (F.col(at) >= F.col("_start")) & (F.col(at) < F.col("_end")), how).drop("_start", "_end")
+    """``df`` with the window_id of each window (window_id, start, end) that its time ``at`` lies in; the end does not belong.
+
+    Times and windows meet on their days, so neither side is broadcast and no other pair is looked at.
+    """
+    fine = windows.where("start <= end").select("window_id", F.col("start").alias("_start"), F.col("end").alias("_end"))
+    w = by_days(fine, "_start", "_end")
+    inside = (F.to_date(at) == F.col("_day")) & (F.col(at) >= F.col("_start")) & (F.col(at) < F.col("_end"))
+    return df.join(w, inside, how).drop("_start", "_end", "_day")
 
 
 def collection_success(jobs: DataFrame, sources: DataFrame, windows: DataFrame, keys: Sequence[str] = ("window_id",)) -> DataFrame:

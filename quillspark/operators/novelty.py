@@ -1,7 +1,8 @@
 """Novelty: how a candidate relates to those that exist.
 
 Names, profiles (families, assets, horizon) and the six core fields are compared.  Related candidates
-share a name, or a family and an asset, so pairs are made on these; no other pair is looked at.
+share a name, or a family, an asset and a unit of the horizon, so pairs are made on these; no other pair
+is looked at.
 """
 
 from __future__ import annotations
@@ -82,8 +83,12 @@ def relations(candidates: DataFrame, existing: DataFrame, fold=text.fold_unicode
 
 
 def _keys() -> Column:
+    """What related candidates share at least one of; horizons overlap if their ranges of units do, or are equal texts."""
     names = F.when(F.col("name") != "", F.array(F.concat(F.lit("n:"), F.col("name")))).otherwise(F.array().cast("array<string>"))
-    profiles = F.flatten(F.transform("families", lambda f: F.transform("assets", lambda a: F.concat_ws("|", F.lit("p:"), f, a))))
+    given = F.when(F.col("horizon") != "", F.array(F.concat(F.lit("t:"), F.col("horizon")))).otherwise(F.array().cast("array<string>"))
+    ranks = F.when(F.size("units") > 0, F.transform(F.sequence(F.array_min("units"), F.array_max("units")), lambda u: F.concat(F.lit("u:"), u.cast("string"))))
+    spans = F.coalesce(F.array_union(ranks, given), given)
+    profiles = F.flatten(F.transform("families", lambda f: F.flatten(F.transform("assets", lambda a: F.transform(spans, lambda s: F.concat_ws("|", F.lit("p:"), f, a, s))))))
     return F.array_union(names, profiles)
 
 

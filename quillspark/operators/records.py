@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text, urls
@@ -64,10 +64,17 @@ def advance_cursor(runs: DataFrame, occurrences: DataFrame, initial_days: int =
 
     runs: window_end, run_status, position.  A window starts where the latest success before it ended;
     the cursor moves to its end only if the run succeeds, so windows of successes tile time.
+
+    The latest success is looked up by day: among those of the same day, else the last of the days before,
+    which are one row each.
     """
-    good = runs.where("run_status = 'success'").select(F.col("window_end").alias("_end"), F.col("position").alias("_pos"))
-    met = occurrences.join(F.broadcast(good), F.col("_end") <= F.col("scheduled_for"), "left")
-    last = met.groupBy(*occurrences.columns).agg(F.max(F.struct("_end", "_pos"))["_end"].alias("previous_end"))
+    good = runs.where("run_status = 'success' AND window_end IS NOT NULL").select(F.col("window_end").alias("_end"), F.to_date("window_end").alias("_day"))
+    daily = good.groupBy("_day").agg(F.max("_end").alias("_last"))
+    days = daily.unionByName(occurrences.select(F.to_date("scheduled_for").alias("_day"), F.lit(None).cast(good.schema["_end"].dataType).alias("_last"))).where("_day IS NOT NULL").groupBy("_day").agg(F.max("_last").alias("_last"))
+    before = days.select("_day", F.max("_last").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"))
+    asked = occurrences.withColumn("_day", F.to_date("scheduled_for"))
+    same = asked.join(good, "_day").where(F.col("_end") <= F.col("scheduled_for")).groupBy("scheduled_for").agg(F.max("_end").alias("_today"))
+    last = asked.distinct().join(before, "_day", "left").join(same, "scheduled_for", "left").withColumn("previous_end", F.coalesce("_today", "_earlier")).drop("_day", "_earlier", "_today")
     asked = F.coalesce("previous_end", F.col("scheduled_for") - F.make_dt_interval(F.lit(initial_days)))
     floor = F.col("scheduled_for") - F.make_dt_interval(F.lit(max_days))
     cut = F.col("previous_end").isNotNull() & (asked < floor)

@@ -124,15 +124,34 @@ def evidence_gap_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.evidence_gap(items, linked, one).select(F.round("value", 6).alias("value"), "sample_size", "verdict")
 
 
-_SQL_ALL = f"SELECT * FROM ({_SQL_M1}) UNION ALL SELECT * FROM ({_SQL_M4}) UNION ALL SELECT * FROM ({_SQL_M5})"
+_SQL_M2 = _sql_metric("M2", "SELECT window_start, event_id % 97 AS delay FROM e WHERE event_type <> 'error' QUALIFY row_number() OVER (PARTITION BY window_start, user_id ORDER BY event_id % 5 DESC, event_id) = 1", "max(delay)::DOUBLE", "count(delay)", 30.0, False)
+_SQL_M3 = """
+SELECT window_start, 'M3' AS metric_id, waiting::DOUBLE AS value, n AS sample_size, CASE WHEN n = 0 THEN 'insufficient_data' WHEN waiting <= 20 THEN 'met' ELSE 'breached' END AS verdict
+FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-29', INTERVAL 7 DAY)) AS window_start), (SELECT count(*) FILTER (WHERE o_orderstatus = 'P') AS waiting, count(*) AS n FROM orders)
+"""
+_SQL_M6 = _sql_metric("M6", "SELECT window_start, user_id FROM e WHERE event_type = 'purchase'", "count(*) FILTER (WHERE user_id % 2 = 1)::DOUBLE / count(user_id)", "count(user_id)", 0.0, False)
+_SQL_ALL = " UNION ALL ".join(f"SELECT * FROM ({m})" for m in (_SQL_M1, _SQL_M2, _SQL_M3, _SQL_M4, _SQL_M5, _SQL_M6))
 
 
-def _three(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _six(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All metrics of each week: events as jobs, attempts, deliveries and versions, purchases as claims, orders as candidates."""
     e = _events(spark, sf_dir)
     jobs = e.select("window_start", F.col("user_id").alias("source_id"), F.when(F.col("event_type") != "error", "success").otherwise("failed").alias("status"), F.lit(True).alias("terminal_error"))
     sources = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source_id"), (F.col("c_acctbal") > 0).alias("active"))
+    reports = e.where("event_type <> 'error'").select("window_start", F.col("user_id").alias("briefing_id"), (F.col("event_id") % 5).alias("run_attempt"), F.col("event_id").alias("tie"), (F.col("event_id") % 97).alias("delay"))
+    waiting = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") == "P", "needs_review").otherwise("approved").alias("review_status"))
+    claims = e.where("event_type = 'purchase'").select("window_start", F.col("event_id").alias("item_id"), "user_id")
     weeks = _weeks(spark)
-    return metrics.collection_success(jobs, sources, weeks, WEEK).unionByName(metrics.delivery_failure(_deliveries(spark, sf_dir), weeks, WEEK)).unionByName(metrics.duplicate_rate(_version_rows(spark, sf_dir), weeks, WEEK))
+    out = metrics.collection_success(jobs, sources, weeks, WEEK)
+    for more in (
+        metrics.briefing_delay(reports, weeks, WEEK),
+        metrics.review_backlog(waiting, weeks, WEEK),
+        metrics.delivery_failure(_deliveries(spark, sf_dir), weeks, WEEK),
+        metrics.duplicate_rate(_version_rows(spark, sf_dir), weeks, WEEK),
+        metrics.evidence_gap(claims.select("window_start", "item_id"), claims.where("user_id % 2 = 0").select("item_id"), weeks, WEEK),
+    ):
+        out = out.unionByName(more)
+    return out
 
 
 @query(f"""
@@ -142,8 +161,8 @@ SELECT w.window_start, metric_id, m.value, coalesce(m.sample_size, 0) AS sample_
 FROM w CROSS JOIN ids LEFT JOIN m USING (window_start, metric_id)
 """)
 def metric_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All six metrics of every week; those without a source here have insufficient data."""
-    return _m(metrics.complete_rows(_three(spark, sf_dir), _weeks(spark), WEEK))
+    """All six metrics of every week."""
+    return _m(metrics.complete_rows(_six(spark, sf_dir), _weeks(spark), WEEK))
 
 
 @query(f"""
@@ -152,7 +171,7 @@ FROM ({_SQL_ALL}) WHERE verdict IN ('breached', 'insufficient_data')
 """)
 def metric_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts of the weekly metrics."""
-    rows = _three(spark, sf_dir).withColumn("window_id", F.date_format("window_start", "yyyy-MM-dd"))
+    rows = _six(spark, sf_dir).withColumn("window_id", F.date_format("window_start", "yyyy-MM-dd"))
     return metrics.alerts(rows).select("alert_id", "severity", "verdict")
 
 
@@ -166,10 +185,10 @@ SELECT count(DISTINCT window_start) AS windows, true AS consecutive, count(*) FI
 FROM m JOIN l USING (window_start)
 """)
 def expansion_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last four weeks against three metrics."""
-    rows = _three(spark, sf_dir).withColumn("window_id", F.col("window_start").cast("string"))
+    """The last four weeks against all six metrics."""
+    rows = _six(spark, sf_dir).withColumn("window_id", F.col("window_start").cast("string"))
     weeks = timing.observation_windows(spark, FIRST, LAST).withColumn("window_id", F.col("start").cast("string"))
-    return metrics.expansion_gate(rows, weeks, metric_ids=("M1", "M4", "M5")).withColumn("blocked_metrics", F.array_join("blocked_metrics", ","))
+    return metrics.expansion_gate(rows, weeks).withColumn("blocked_metrics", F.array_join("blocked_metrics", ","))
 
 
 #: Terms that occur in the invented prose.
@@ -270,6 +289,7 @@ def route_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Roles of the comparison: large parts are a run's new candidates, small ones those that were there before it."""
     p = _parts(spark, sf_dir)
     return p.where("p_size > 25"), p.where("p_size <= 25")
 

@@ -22,22 +22,32 @@ def recent(items: DataFrame, time: str = "retrieved_at", late: str = "30 days",
     return dated.withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
 
 
+#: Parts of the version log by the hash of a document; a batch reads only those of its documents.
+BUCKETS = 64
+
+
 def append_versions(batch: DataFrame, batch_id: int, folder: str) -> None:
     """Append the versions that a batch adds to the log under ``folder``.
 
     A replayed batch writes the same folder again, and versions come from all other batches, so a
-    failure between write and commit adds nothing twice.
+    failure between write and commit adds nothing twice.  The log is dealt to BUCKETS by document, and a
+    batch reads the buckets that its documents fall into.
     """
     spark = batch.sparkSession
     staged = versions.stage(batch)
     columns = ["document_id", "content_hash", "body_hash", "source_id", "canonical_url", "retrieved_at", "position", "normalized_body"]
     schema = "document_id string, content_hash string, body_hash string, source_id string, canonical_url string, retrieved_at timestamp, position int, normalized_body string, version_no int, document_version_id string"
+    bucket = F.pmod(F.xxhash64("document_id"), F.lit(BUCKETS)).cast("int")
     root = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     done = [str(x.getPath()) for x in fs.listStatus(root)] if fs.exists(root) else []
-    known = spark.read.schema(schema).parquet(*[x for x in done if not x.endswith(f"/batch={batch_id}")]) if [x for x in done if not x.endswith(f"/batch={batch_id}")] else spark.createDataFrame([], schema)
+    known = spark.createDataFrame([], schema)
+    if any(not x.endswith(f"/batch={batch_id}") for x in done):
+        touched = [r[0] for r in staged.select(bucket).distinct().collect()]  # at most BUCKETS numbers
+        log = spark.read.schema(schema + ", batch long, bucket int").option("basePath", folder).parquet(folder)
+        known = log.where((F.col("batch") != batch_id) & F.col("bucket").isin(touched or [-1])).drop("batch", "bucket")
     new = versions.new_versions(staged.select(*columns), known)
-    new.select(*[c.split()[0] for c in schema.split(", ")]).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+    new.select(*[c.split()[0] for c in schema.split(", ")], bucket.alias("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/batch={batch_id}")
 
 
 def version_log(items: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
