@@ -8,7 +8,7 @@ passages, and the weighted sum is scored:
     score = sigmoid(c . sum(a h) + d)
 
 All weights are learned together, from document labels only, by Adam on a bounded sample of the
-labelled training rows.
+labelled training rows and, of very long ones, of their passages.
 """
 
 from __future__ import annotations
@@ -35,9 +35,9 @@ class Quality:
     batch: int = 64
     rate: float = 0.004
     decay: float = 1e-4
-    #: Bounds of the training sample: labelled documents, and bytes of one of them.
+    #: Bounds of the training sample: labelled documents, and passages of one of them, evenly spread over it.
     sample: int = 4000
-    sample_bytes: int = 200_000
+    sample_passages: int = 64
     #: A document is kept if its score is at least this.
     threshold: float = 0.3
     seed: int = 11
@@ -168,12 +168,17 @@ def train(bags: list[np.ndarray], y: np.ndarray, p: Quality) -> Model:
     return model
 
 
+def spread(first: int, end: int, most: int) -> np.ndarray:
+    """At most ``most`` places, evenly spread from ``first`` to ``end``; all of them if there are no more."""
+    return np.arange(first, end) if end - first <= most else first + np.arange(most) * (end - first) // most
+
+
 def _encoded(p: Quality):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.chunks(batch, "text", _CHUNK):
                 x, edges = encode(part.column(0), p)
-                raw = [x[a:b].astype(np.float16).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                raw = [x[spread(a, b, p.sample_passages)].astype(np.float16).tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(raw, pa.binary())], names=["quality", "x"])
 
     return run
@@ -196,7 +201,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, p: Quality) ->
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     ids = known.orderBy(F.xxhash64("doc_id", F.lit(p.seed)), "doc_id").limit(p.sample)
-    texts = docs.where(F.octet_length("text") <= p.sample_bytes).join(F.broadcast(ids), "doc_id").select("text", "quality")
+    texts = docs.join(F.broadcast(ids), "doc_id").select("text", "quality")
     found: pd.DataFrame = texts.mapInArrow(_encoded(p), "quality int, x binary").toPandas()
     bags = [np.frombuffer(x, dtype=np.float16).reshape(-1, p.width).astype(np.float32) for x in found["x"]]
     order = sorted(range(len(bags)), key=lambda i: (bags[i].shape[0], found["x"][i]))
@@ -219,7 +224,13 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, held_out: Col
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, held_out: Column, p: Quality = Quality()) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with all their columns."""
+    """The rows of ``docs`` that the classifier accepts, with all their columns, whatever their names.
+
+    Null and empty texts are judged as one empty passage; rows without doc_id are judged like others.
+    Repeated rows stay or go together, and scores that tie with the threshold stay.  Without labels of
+    both kinds all rows stay if the mean label reaches the threshold, else none.  An empty table gives an
+    empty one.
+    """
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = spark.sparkContext.broadcast((fit(spark, text, labels.where(F.coalesce(~held_out, F.lit(True))), p), p))
 

@@ -4,7 +4,8 @@ The vocabulary is a list of pieces with scores.  A text is written with a space
 every space; an Aho-Corasick automaton gives all pieces that end at each character, and dynamic
 programming carries the best score and its number of pieces.  Ties go as in the tokenizers library:
 of equal scores the piece that starts first wins.  A character that is no piece is unknown, at ten
-under the least score, and counts as its UTF-8 bytes.
+under the least score, and counts as its UTF-8 bytes.  Names of control pieces in a text (<s>, <unk>,
+<0x41>) are pieces like others, as they are to that library's Unigram model when no added token names them.
 
 No piece has a space mark behind another character, so a text's best path is made of the best paths
 of its runs of marks and the letters behind them.  Distinct runs are counted once and remembered.

@@ -46,8 +46,22 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _clean(value: str) -> str:
-    return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if "\r" in value or "\n" in value else value
+#: A header of our own, for a URL that a WARC header cannot hold as it is.
+_EXACT = "quillspark-target"
+
+
+def _target(url: str) -> list[str]:
+    """The headers of a URL: line ends and outer blanks are escaped, and then the exact URL stands in base64."""
+    plain = "".join(f"%{ord(c):02X}" if c < " " or c == "\x7f" else c for c in url)
+    inner = plain.strip()
+    if inner == url:
+        return [f"WARC-Target-URI: {url}"]
+    return [f"WARC-Target-URI: {inner.replace(' ', '%20')}", f"{_EXACT}: {base64.b64encode(url.encode()).decode()}"]
+
+
+def _url(fields: dict[str, str]) -> str | None:
+    exact = fields.get(_EXACT)
+    return fields.get("warc-target-uri") if exact is None else base64.b64decode(exact).decode()
 
 
 def record(page: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
@@ -56,7 +70,7 @@ def record(page: int | None, url: str | None, payload: bytes, refers_to: int | N
     block = http if refers_to is not None else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{_ID}{'none' if page is None else page}>", "WARC-Date: 2024-01-01T00:00:00Z"]
     if url is not None:
-        head.append(f"WARC-Target-URI: {_clean(url)}")
+        head += _target(url)
     if refers_to is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{_ID}{refers_to}>"]
     head += [f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -146,7 +160,7 @@ def _index(folder: str):
                 with fs.open_input_stream(f"{base}/{file}", compression=None) as stream:
                     for offset, length, raw in members(stream):
                         h, _, _ = parse(raw)
-                        rows.append((file, offset, length, h.get("warc-target-uri"), h.get("warc-payload-digest", "").removeprefix("sha1:"), _page(h.get("warc-record-id")), h.get("warc-type")))
+                        rows.append((file, offset, length, _url(h), h.get("warc-payload-digest", "").removeprefix("sha1:"), _page(h.get("warc-record-id")), h.get("warc-type")))
                         if len(rows) == 4096:
                             yield flush()
                             rows = []
@@ -184,7 +198,7 @@ def _fetch(folder: str, p: Warc, payloads: bool):
                     size = len(payload)
                     if base32_sha1(payload) != digest:
                         raise ValueError(f"{file} at {offset}: payload does not match its digest")
-                rows.append((_page(h.get("warc-record-id")), h.get("warc-target-uri"), size, digest, kind, _page(h.get("warc-refers-to")), payload if payloads else None))
+                rows.append((_page(h.get("warc-record-id")), _url(h), size, digest, kind, _page(h.get("warc-refers-to")), payload if payloads else None))
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
         file, pending = None, []
@@ -226,7 +240,7 @@ def write(spark: SparkSession, pages: DataFrame, p: Warc = Warc()) -> Archive:
     A null html is an empty payload.  Of pages with equal payloads of at least ``least`` bytes the one
     with the smallest page_id is a response and those with larger ids revisit it; rows that share the
     smallest id are all responses, and so are rows without id.  A null url is left out of its record;
-    line ends in a url are escaped.  An empty table gives an empty index.  Other columns are not read.
+    any other comes back as it went in, blanks, line ends and escapes included.  An empty table gives an empty index.  Other columns are not read.
     """
     scratch = Scratch(spark, "warc")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))

@@ -95,3 +95,13 @@ def test_passages_do_not_depend_on_neighbours():
     for i, t in enumerate(texts):
         one, _ = M.encode(pa.array([t], pa.string()), p)
         assert np.array_equal(one, x[edges[i] : edges[i + 1]])
+
+
+def test_long_labelled_texts_count_by_evenly_spread_passages(spark):
+    assert M.spread(3, 8, 9).tolist() == [3, 4, 5, 6, 7] and M.spread(10, 110, 5).tolist() == [10, 30, 50, 70, 90]
+    rng = random.Random(5)
+    rows = [(i, " ".join(["!!! junk"] * 200 if i % 2 else [prose(rng, 10) for _ in range(30)])) for i in range(40)] + [(100, "!!! junk " * 30_000)]
+    labels = [(i, int(i % 2 == 0)) for i in range(40)] + [(100, 0)]
+    p = M.Quality(sample_passages=8)
+    kept = M.keep_good(spark, frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int"), F.lit(False), p)
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == set(range(0, 40, 2))

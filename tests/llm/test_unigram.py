@@ -8,7 +8,7 @@ from tests.llm.helpers import frame, odd, prose
 
 public = pytest.importorskip("public_tokenizers")
 P = U.Unigram(public.path("piece_bpe_32k.model"))
-TRICKY = ["", " ", "   ", "a", "🙂🙂 a  b   c ", "日本語 テキスト\n\n x\ty", "▁▁a ▁ b", "<s> </s> <0x41>", "é́ ́", "aaaaaaaaaaaaaaaaaaaaaaaaa", "▁x", "门梦\x00 龘龘a", "a" + " " * 70 + "b"]
+TRICKY = ["", " ", "   ", "a", "🙂🙂 a  b   c ", "日本語 テキスト\n\n x\ty", "▁▁a ▁ b", "<s> </s> <0x41>", "<unk> a<unk>b", "x<s>y </s>z<0x41><0xE2>", "é́ ́", "aaaaaaaaaaaaaaaaaaaaaaaaa", "▁x", "门梦\x00 龘龘a", "a" + " " * 70 + "b"]
 
 
 def library(pieces):
