@@ -30,8 +30,8 @@ def append_versions(batch: DataFrame, batch_id: int, folder: str) -> None:
     """Append the versions that a batch adds to the log under ``folder``.
 
     A replayed batch writes the same folder again, and versions come from all other batches, so a
-    failure between write and commit adds nothing twice.  The log is dealt to BUCKETS by document, and a
-    batch reads the buckets that its documents fall into.
+    failure between write and commit adds nothing twice.  Rows carry a bucket of their document and lie in
+    its order, so a batch reads only the row groups of the buckets that its documents fall into.
     """
     spark = batch.sparkSession
     staged = versions.stage(batch)
@@ -41,13 +41,15 @@ def append_versions(batch: DataFrame, batch_id: int, folder: str) -> None:
     root = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     done = [str(x.getPath()) for x in fs.listStatus(root)] if fs.exists(root) else []
+    others = [x for x in done if not x.endswith(f"/batch={batch_id}")]
     known = spark.createDataFrame([], schema)
-    if any(not x.endswith(f"/batch={batch_id}") for x in done):
+    if others:
         touched = [r[0] for r in staged.select(bucket).distinct().collect()]  # at most BUCKETS numbers
-        log = spark.read.schema(schema + ", batch long, bucket int").option("basePath", folder).parquet(folder)
-        known = log.where((F.col("batch") != batch_id) & F.col("bucket").isin(touched or [-1])).drop("batch", "bucket")
+        log = spark.read.schema(schema + ", bucket int").parquet(*others)
+        known = log.where(F.col("bucket").isNull() | F.col("bucket").isin(touched or [-1])).drop("bucket")
     new = versions.new_versions(staged.select(*columns), known)
-    new.select(*[c.split()[0] for c in schema.split(", ")], bucket.alias("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/batch={batch_id}")
+    rows = new.select(*[c.split()[0] for c in schema.split(", ")], bucket.alias("bucket")).sortWithinPartitions("bucket")
+    rows.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
 
 def version_log(items: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
