@@ -4,13 +4,13 @@ A document holds a benchmark item if one of its passages is within ``rate`` of t
 edits, a character each.  If m characters meet a passage with k edits, they share at least
 m + 1 - q (k + 1) q-grams, and all of these lie in a band of k + 1 neighbouring diagonals.  So:
 
-1. The q-grams of the whole of each text are looked up in an index of all items.  Places that share a
-   q-gram with an item are counted, not paired; a text without enough of them does not hold the item.
-2. Of what is left, places within the length of a passage must reach the bound.  There a hit has a
-   diagonal, its place in the text less its place in the item.  Diagonals are cut into bands of
-   2 (k + 1) that overlap by half, so any k + 1 neighbours lie in one; bands whose hits within the length
-   of a passage reach the bound are kept.  Where q-grams repeat so often that hits would outnumber
-   ``hits``, all diagonals of the place are kept instead, which loses nothing.
+1. The q-grams of the whole of each text are looked up in an index of all items.  Places in the text that
+   share a q-gram with an item count once each; areas where places within the length of a passage reach
+   the bound are kept.
+2. There a hit has a diagonal, its place in the text less its place in the item.  Diagonals are cut into
+   bands of 2 (k + 1) that overlap by half, so any k + 1 neighbours lie in one; bands whose hits within the
+   length of a passage reach the bound are kept.  Where q-grams repeat so often that hits would outnumber
+   ``hits``, all diagonals of the area are kept instead, which loses nothing.
 3. The item is aligned within the kept diagonals alone; the fewest edits and their span stay.
 
 Texts are compared folded: ASCII letters in lower case, each run of other ASCII characters one space,
@@ -47,7 +47,7 @@ class Leaks:
     #: Bytes of items in one block of the index.
     block: int = 4 << 20
     #: Hits of a text and an item that are held at once, and diagonals that are aligned at once.
-    hits: int = 1 << 20
+    hits: int = 1 << 19
     diagonals: int = 1 << 14
     #: Bytes of text that are matched at once.
     chunk: int = 2 << 20
@@ -213,6 +213,30 @@ def align(item: np.ndarray, text: np.ndarray, most: int, first: int | None = Non
     return int(min(cost[end], most + 1)), int(np.clip(begin[end], 0, n)), int(np.clip(first + end + m, 0, n))
 
 
+def within(item: np.ndarray, text: np.ndarray, most: int, first: int, last: int) -> bool:
+    """Whether some part of ``text`` within diagonals ``first`` to ``last`` is at most ``most`` edits from ``item``.
+
+    The table of ``align`` without places: costs are kept less the number of their diagonal, so an
+    insertion costs nothing and an omission two.
+    """
+    m, n = len(item), len(text)
+    first, last = max(-m, first), min(n, last)
+    if first > last:
+        return False
+    step = np.arange(last - first + 1, dtype=np.int32)
+    around = np.full(n + 2 * m + 1, 0xFFFFFFFF, dtype=np.uint32)
+    around[m : m + n] = text
+    change = np.lib.stride_tricks.sliding_window_view(around[m + first : 2 * m + last], len(step)) != item[:, None]
+    cost = -step
+    for i in range(m):
+        new = cost + change[i]
+        np.minimum(new[:-1], cost[1:] + 2, out=new[:-1])
+        cost = np.minimum.accumulate(new, out=new)
+        if i % 16 == 15 and (cost + step).min() > most:
+            return False
+    return bool((cost + step).min() <= most)
+
+
 def _bands(pos: np.ndarray, inside: np.ndarray, size: int, k: int, q: int, bound: int, widest: int) -> Iterator[tuple[int, int]]:
     """Diagonals, first and last, of neighbouring bands that have ``bound`` hits within a passage.
 
@@ -248,8 +272,8 @@ def _bands(pos: np.ndarray, inside: np.ndarray, size: int, k: int, q: int, bound
         yield now
 
 
-def _places(points: np.ndarray, hashes: np.ndarray, goal: Folded, q: int, k: int, bound: int, p: Leaks) -> Iterator[tuple[int, int]]:
-    """Diagonals of a text, first and last, in which the item is to be aligned."""
+def _diagonals(hashes: np.ndarray, goal: Folded, q: int, k: int, bound: int, p: Leaks) -> Iterator[tuple[int, int]]:
+    """Diagonals of a stretch of text, first and last, in which the item is to be aligned."""
     size = len(goal.points)
     grams = _hash_grams(goal.small, q)
     order = np.argsort(grams, kind="stable")
@@ -257,40 +281,38 @@ def _places(points: np.ndarray, hashes: np.ndarray, goal: Folded, q: int, k: int
     lo = np.searchsorted(grams, hashes, side="left")
     count = np.searchsorted(grams, hashes, side="right") - lo
     pos = np.flatnonzero(count)
-    if len(pos) < bound:
-        return
-    near = np.flatnonzero(pos[bound - 1 :] - pos[: len(pos) - bound + 1] <= size + k - q)
-    if not len(near):
-        return
-    # neighbouring windows that hold enough places are one area
-    new = np.concatenate(([True], pos[near[1:]] > pos[near[:-1] + bound - 1]))
-    ends = near[np.append(np.flatnonzero(new)[1:] - 1, len(near) - 1)] + bound
-    for a, b in zip(near[new].tolist(), ends.tolist(), strict=True):
-        at, n = pos[a:b], count[pos[a:b]]
-        if (total := int(n.sum())) > p.hits:
-            first, last = int(at[0]) - size, int(at[-1]) + k
-            for d in range(first, last + 1, p.diagonals):
-                yield d - k, d + p.diagonals + k
-            continue
-        entry = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[at], n)
-        yield from _bands(np.repeat(at, n), order[entry], size, k, q, bound, p.diagonals)
-
-
-def _best(points: np.ndarray, hashes: np.ndarray, goal: Folded, q: int, k: int, bound: int, p: Leaks) -> tuple[int, int, int] | None:
-    """(edits, start, end) of the item's best match in a text, or None."""
-    raw, wanted = points.tobytes(), goal.points.tobytes()
-    at = raw.find(wanted)
-    while at >= 0 and at % 4:
-        at = raw.find(wanted, at + 1)
-    if at >= 0:
-        return 0, at // 4, at // 4 + len(goal.points)
+    n = count[pos]
+    if (total := int(n.sum())) > p.hits:
+        for d in range(int(pos[0]) - size, int(pos[-1]) + k + 1, p.diagonals):
+            yield d - k, d + p.diagonals + k
+    elif len(pos) >= bound:
+        entry = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[pos], n)
+        yield from _bands(np.repeat(pos, n), order[entry], size, k, q, bound, p.diagonals)
+
+
+def _best(t: Folded, hashes: np.ndarray, text: tuple[int, int], areas: list[tuple[int, int]], goal: Folded, q: int, k: int, bound: int, p: Leaks) -> tuple[int, int, int] | None:
+    """(edits, start, end) of the item's best match near the ``areas`` of a text, or None.
+
+    An area has the first and the last place of q-grams that lie close enough; a match has all of its own in one.
+    """
+    size, wanted = len(goal.points), goal.small.tobytes()
+    for first, last in areas:
+        raw = t.small[first : last + q].tobytes()
+        at = raw.find(wanted)
+        while at >= 0 and not np.array_equal(t.points[first + at : first + at + size], goal.points):
+            at = raw.find(wanted, at + 1)
+        if at >= 0:
+            return 0, first + at, first + at + size
     best = None
-    for first, last in _places(points, hashes, goal, q, k, bound, p):
-        # the text that these diagonals touch, so that a long text is not copied for each
-        lo, hi = max(0, first), min(len(points), last + len(goal.points) + 1)
-        found = align(goal.points, points[lo:hi], k, first - lo, last - lo)
-        if found[0] <= k and (best is None or found[0] < best[0]):
-            best = (found[0], lo + found[1], lo + found[2])
+    for first, last in areas:
+        for low, high in _diagonals(hashes[first : last + 1], goal, q, k, bound, p):
+            # the text that these diagonals touch, so that a long text is not copied for each
+            lo, hi = max(text[0], first + low), min(text[1], first + high + size + 1)
+            if not within(goal.points, t.points[lo:hi], k, first + low - lo, first + high - lo):
+                continue
+            found = align(goal.points, t.points[lo:hi], k, first + low - lo, first + high - lo)
+            if found[0] <= k and (best is None or found[0] < best[0]):
+                best = (found[0], lo + found[1], lo + found[2])
     return best
 
 
@@ -325,26 +347,50 @@ def _find_short(t: Folded, eights: np.ndarray, index: Index) -> Iterator[tuple[i
             yield int(row[k]), int(ids[item[k]]), int(pos[k]), int(pos[k]) + n
 
 
-def _pairs(row: np.ndarray, key: np.ndarray, first: np.ndarray, items: np.ndarray, index: Index, most: int) -> Iterator[tuple[int, int]]:
-    """(row, item) of texts with as many places that share a q-gram with the item as its bound asks.
+def _joined(pair: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of the same pair that overlap as one, in order."""
+    order = np.lexsort((lo, pair))
+    pair, lo, hi = pair[order], lo[order], hi[order]
+    if not len(pair):
+        return pair, lo, hi
+    number = np.cumsum(np.concatenate(([0], pair[1:] != pair[:-1])))
+    reach = np.maximum.accumulate(number * (1 << 40) + hi)
+    new = np.flatnonzero(np.concatenate(([True], number[1:] * (1 << 40) + lo[1:] > reach[:-1])))
+    return pair[new], lo[new], reach[np.append(new[1:] - 1, len(pair) - 1)] & ((1 << 40) - 1)
+
+
+def _areas(pos: np.ndarray, row: np.ndarray, key: np.ndarray, first: np.ndarray, items: np.ndarray, q: int, index: Index, most: int) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """(row, item, areas): first and last places where a text has as many places close together as the item's bound asks.
 
-    Places are paired with items ``most`` at a time and counted at once.
+    Places are paired with items ``most`` at a time, each time from so far back that no passage is cut.
     """
+    many, size = len(index.ids), np.array([len(t.points) for t in index.texts], dtype=np.int64)
+    near = size + index.edits - q
     count = first[key + 1] - first[key]
     total = np.cumsum(count)
-    pairs, counts, at = [], [], 0
+    found: tuple[list, list, list] = ([], [], [])
+    at = 0
     while at < len(key):
         stop = max(at + 1, int(np.searchsorted(total, total[at] - count[at] + most, side="right")))
-        n = count[at:stop]
-        entry = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[key[at:stop]], n)
-        pair, many = np.unique(np.repeat(row[at:stop], n) * len(index.ids) + items[entry], return_counts=True)
-        pairs.append(pair)
-        counts.append(many)
+        begin = int(np.searchsorted(pos, pos[at] - near.max()))
+        n = count[begin:stop]
+        entry = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[key[begin:stop]], n)
+        pair, where = np.repeat(row[begin:stop], n) * many + items[entry], np.repeat(pos[begin:stop], n)
+        order = np.argsort(pair, kind="stable")
+        pair, where = pair[order], where[order]
+        item = pair % many
+        # a place and the one that is bound - 1 further on, of one text and item, no further apart than in a passage
+        last = np.arange(len(pair)) + index.bound[item] - 1
+        here = np.flatnonzero(last < len(pair))
+        ok = (pair[last[here]] == pair[here]) & (where[last[here]] - where[here] <= near[item[here]])
+        here = here[ok]
+        for out, v in zip(found, _joined(pair[here], where[here], where[last[here]]), strict=True):
+            out.append(v)
         at = stop
-    pair, inverse = np.unique(np.concatenate(pairs), return_inverse=True)
-    places = np.bincount(inverse, np.concatenate(counts))
-    for x in pair[places >= index.bound[pair % len(index.ids)]].tolist():
-        yield divmod(x, len(index.ids))
+    pair, lo, hi = _joined(*(np.concatenate(x) for x in found))
+    edges = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1], [True]))) if len(pair) else [0]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield (*divmod(int(pair[a]), many), list(zip(lo[a:b].tolist(), hi[a:b].tolist(), strict=True)))
 
 
 def find(column: pa.Array, index: Index, p: Leaks) -> Iterator[tuple[int, int, int, int, int]]:
@@ -368,10 +414,10 @@ def find(column: pa.Array, index: Index, p: Leaks) -> Iterator[tuple[int, int, i
         ok = (keys[key] == h[pos]) & (pos + q <= t.edges[row + 1])
         if not ok.any():
             continue
-        for r, k in _pairs(row[ok], key[ok], first, items, index, p.hits):
-            lo, hi = int(t.edges[r]), int(t.edges[r + 1])
-            if best := _best(t.points[lo:hi], h[lo : max(lo, hi - q + 1)], index.texts[k], q, int(index.edits[k]), int(index.bound[k]), p):
-                yield (r, index.ids[k], best[0], *span(r, lo + best[1], lo + best[2]))
+        for r, k, areas in _areas(pos[ok], row[ok], key[ok], first, items, q, index, p.hits):
+            text = int(t.edges[r]), int(t.edges[r + 1])
+            if best := _best(t, h, text, areas, index.texts[k], q, int(index.edits[k]), int(index.bound[k]), p):
+                yield (r, index.ids[k], best[0], *span(r, best[1], best[2]))
 
 
 def _matches(sent, p: Leaks):

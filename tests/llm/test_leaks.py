@@ -106,6 +106,7 @@ def test_align_in_a_band_of_diagonals():
             b[rng.randrange(30) : rng.randrange(30)] = rng.choice(["", "x", "yz"])
         text = "".join(rng.choice("abcd") for _ in range(40)) + "".join(b) + "".join(rng.choice("abcd") for _ in range(40))
         best = distance(a, text)
+        assert L.within(points(a), points(text), best, -30, len(text)) and not L.within(points(a), points(text), best - 1, -30, len(text))
         if best <= 6:
             assert min(L.align(points(a), points(text), 6, d, d + 12)[0] for d in range(-30, len(text), 3)) == best
 
