@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import words as W
-from quillspark.llm.store import unused
+from quillspark.llm.store import small_batches, unused
 
 
 @dataclass(frozen=True)
@@ -460,6 +460,7 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, p: Leaks =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, edits int, start long, end long"
+    small_batches(spark)
     out = None
     for block in _blocks(items, p):
         sent = spark.sparkContext.broadcast(build(block, p))

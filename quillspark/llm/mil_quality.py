@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import words as W
+from quillspark.llm.store import small_batches
 
 
 @dataclass(frozen=True)
@@ -198,6 +199,7 @@ def _scored(model):
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, p: Quality) -> Model:
     """The model learned from ``labels`` (doc_id, quality), of which a bounded sample by hash is read."""
+    small_batches(spark)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     ids = known.orderBy(F.xxhash64("doc_id", F.lit(p.seed)), "doc_id").limit(p.sample)
@@ -234,12 +236,12 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, held_out:
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = spark.sparkContext.broadcast((fit(spark, text, labels.where(F.coalesce(~held_out, F.lit(True))), p), p))
 
-    @F.pandas_udf("boolean")
-    def accepted(column: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def accepted(column: pa.Array) -> pa.Array:
         m, q = model.value
         out = []
-        for part in W.chunks(pa.RecordBatch.from_arrays([pa.array(column, pa.string())], names=["text"]), "text", _CHUNK):
+        for part in W.chunks(pa.RecordBatch.from_arrays([column], names=["text"]), "text", _CHUNK):
             out.append(m.forward(*encode(part.column(0), q))[0] >= q.threshold)
-        return pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
+        return pa.array(np.concatenate(out) if out else np.zeros(0, bool))
 
     return docs.where(accepted(F.col("text").cast("string")))

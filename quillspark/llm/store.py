@@ -38,19 +38,19 @@ def _bytes(size: str) -> int:
     return int(number) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30}[unit[:1]]
 
 
-class Scratch:
-    """Cut tables of one run of an operator.
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit of bytes in an Arrow batch to BATCH_MB, so that batches stay small in the JVM and in Python."""
+    if _bytes(spark.conf.get(_BATCH)) > BATCH_MB << 20:
+        spark.conf.set(_BATCH, f"{BATCH_MB}m")
+
 
-    Making one lowers the session's limit of bytes in an Arrow batch to BATCH_MB, so that batches of wide
-    rows stay small in the JVM and in Python.  What is left of the folder goes when the driver ends.
-    """
+class Scratch:
+    """Cut tables of one run of an operator, with small batches; what is left of the folder goes when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.root = spark, f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex[:12]}"
         self.count, self.held = 0, []
-        now = _bytes(spark.conf.get(_BATCH))
-        if now > BATCH_MB << 20:
-            spark.conf.set(_BATCH, f"{BATCH_MB}m")
+        small_batches(spark)
         atexit.register(self._forget)
 
     def path(self, name: str) -> str:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import words as W
+from quillspark.llm.store import small_batches
 
 MARK = "▁"
 
@@ -142,5 +143,6 @@ def token_counts(spark: SparkSession, docs: DataFrame, p: Unigram) -> DataFrame:
                 _, offsets = W.text_buffers(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), pa.array(counter(p).texts(part.column(1)))], names=["doc_id", "n_bytes", "n_tokens"])
 
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
