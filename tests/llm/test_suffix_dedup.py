@@ -72,71 +72,11 @@ def test_cut_keeps_columns_and_clean_texts(spark):
         assert r.n_chars is None if not removed else r.n_chars == len(r.text)
 
 
-def test_union_and_cover():
+def test_runs_and_cover():
     rng = np.random.default_rng(1)
     for _ in range(50):
         starts = rng.integers(0, 40, rng.integers(0, 20))
-        stops = starts + rng.integers(1, 9, len(starts))
-        want = np.zeros(50, bool)
-        for a, b in zip(starts, stops):
-            want[a:b] = True
-        assert (S.covered(50, S.united(starts, stops)) == want).all()
-
-
-def test_argminima():
-    rng = np.random.default_rng(2)
-    for n in range(1, 12):
-        grams = rng.integers(0, 6, 40).astype(np.uint64)
-        assert S.argminima(grams, n).tolist() == [i + int(np.argmin(grams[i : i + n])) for i in range(40 - n + 1)]
-
-
-def brute_repeats(spans, least):
-    """(doc, start, stop) of the longest stretch of each suffix that a smaller document's span of the group holds, inner ones left out."""
-    found = set()
-    for doc, group, at, n, text in spans:
-        for i in range(n):
-            best = 0
-            for other, g, _, m, more in spans:
-                if g == group and other < doc:
-                    for j in range(m):
-                        k = 0
-                        while i + k < len(text) and j + k < len(more) and text[i + k] == more[j + k]:
-                            k += 1
-                        best = max(best, k)
-            if best >= least:
-                found.add((doc, at + i, at + i + best))
-    return {r for r in found if not any(q != r and q[0] == r[0] and q[1] <= r[1] and r[2] <= q[2] for q in found)}
-
-
-def test_maximal_repeats_against_brute_force():
-    rng = random.Random(3)
-    for _ in range(30):
-        base = [rng.randrange(3) for _ in range(12)]
-        spans = []
-        for i in range(rng.randrange(2, 9)):
-            a = rng.randrange(6)
-            text = [rng.randrange(3) for _ in range(rng.randrange(4))] + base[a : a + rng.randrange(2, 7)] + [rng.randrange(3) for _ in range(rng.randrange(1, 4))]
-            spans.append((rng.randrange(5), rng.randrange(2), 100 * i, rng.randrange(1, len(text) + 1), text))
-        spans.sort(key=lambda s: s[1])
-        doc, group, at, n = (np.array([s[k] for s in spans], dtype=np.int64) for k in range(4))
-        first = np.concatenate(([0], np.cumsum([len(s[4]) for s in spans])))
-        tree = S.Subtrees(np.concatenate([np.array(s[4], dtype=np.int64) for s in spans]), first, n, group)
-        depth = tree.deepest(3, doc)
-        k = np.flatnonzero(depth)
-        start = at[tree.span[k]] + tree.offset[k]
-        top = S.maximal(doc[tree.span[k]], start, start + depth[k])
-        got_ = {(int(doc[tree.span[k[t]]]), int(start[t]), int(start[t] + depth[k[t]])) for t in top}
-        assert got_ == brute_repeats(spans, 3)
-
-
-def test_repeats_are_longer_than_windows(spark):
-    rng = random.Random(4)
-    passage = prose(rng, 75, 5000)
-    rows = [(i, f"{prose(rng, 40, 5000)} a{i} {passage} b{i} {prose(rng, 40, 5000)}") for i in range(6)]
-    scratch = S.Scratch(spark, "t")
-    assert got(S.dedup_passages(spark, frame(spark, rows))) == brute(rows, 50)
-    texts = frame(spark, rows).select("doc_id", "text")
-    marks = texts.mapInArrow(S._profile(S.SuffixDedup()), S._PROFILE).select("doc_id", "minimizers")
-    spans = scratch.cut(texts.join(marks, "doc_id").mapInArrow(S._spans(S.SuffixDedup()), S._SPANS), "spans")
-    found = spans.repartition("gram").sortWithinPartitions("gram").mapInArrow(S._subtrees(S.SuffixDedup()), "doc_id long, start int, stop int").collect()
-    assert {r.doc_id for r in found} == {1, 2, 3, 4, 5} and max(r.stop - r.start for r in found) > 50
+        want = np.zeros(47, bool)
+        for s in starts:
+            want[s : s + 8] = True
+        assert (S.covered(47, S.runs(starts), 8) == want).all()
