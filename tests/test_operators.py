@@ -165,6 +165,24 @@ def test_novelty_equals_brute_force(spark, how):
     assert got == {c[0]: brute_novelty(c, old) for c in new}
 
 
+def test_novelty_compares_rows_once_for_all_ids(spark):
+    rng = random.Random(5)
+    new = [(f"{c[0]}-{k}", *c[1:]) for c in candidates(rng, 8, "n") for k in range(3)]
+    old = [(f"{c[0]}-{k}", *c[1:]) for c in candidates(rng, 12, "o") for k in range(4)] + new[:6]
+    new += [new[0], (new[1][0], *new[9][1:])]
+    a, b = spark.createDataFrame(new, CANDIDATE), spark.createDataFrame(old, CANDIDATE)
+    got = sorted(novelty.relations(a, b).collect())
+    want = []
+    for x in new:
+        for y in old:
+            status, ids = brute_novelty(x, [y])
+            if ids:
+                want.append((x[0], y[0], status))
+    assert [(r.a, r.b, r.relation) for r in got] == sorted(want) and len({(r.a, r.b) for r in got}) < len(got)
+    shared = novelty._gathered(novelty.prepare(a), "x", "a")
+    assert shared.count() == len({c[1:] for c in ((c[0], *map(str, c[1:])) for c in new)})
+
+
 def test_token_novelty(spark):
     a = spark.createDataFrame([("a", "X One", "p q r"), ("b", "Y", "p q r s"), ("c", "Z", "none"), ("d", "x-one", "k")], "candidate_id string, canonical_name string, core_hypothesis string")
     got = {r.candidate_id: (r.best_id, r.status, r.points) for r in scoring.token_novelty(a, a, ["core_hypothesis"]).collect()}
