@@ -183,6 +183,20 @@ def test_novelty_compares_rows_once_for_all_ids(spark):
     assert shared.count() == len({c[1:] for c in ((c[0], *map(str, c[1:])) for c in new)})
 
 
+def test_novelty_of_ids_with_equal_and_with_several_rows(spark):
+    rng = random.Random(5)
+    new = [(f"{c[0]}-{k}", *c[1:]) for c in candidates(rng, 8, "n") for k in range(3)]
+    old = [(f"{c[0]}-{k}", *c[1:]) for c in candidates(rng, 12, "o") for k in range(4)] + new[:6]
+    new += [new[0], (new[1][0], *new[9][1:])]
+    a, b = spark.createDataFrame(new, CANDIDATE), spark.createDataFrame(old, CANDIDATE)
+    whole = {c[0]: [d for d in new if d[0] == c[0]] for c in new}
+    for r in novelty.classify(a, b, separator=",").collect():
+        by_kind = [{e[0] for c in whole[r.candidate_id] for e in old if brute_novelty(c, [e])[0] == k} for k in novelty.RELATIONS]
+        best = next((k for k, ids in enumerate(by_kind) if ids), None)
+        ids = set() if best is None else by_kind[best] | (by_kind[1] if best == 0 else set())
+        assert (r.novelty_status, r.related_ids) == ("new" if best is None else novelty.RELATIONS[best], ",".join(sorted(ids)))
+
+
 def test_token_novelty(spark):
     a = spark.createDataFrame([("a", "X One", "p q r"), ("b", "Y", "p q r s"), ("c", "Z", "none"), ("d", "x-one", "k")], "candidate_id string, canonical_name string, core_hypothesis string")
     got = {r.candidate_id: (r.best_id, r.status, r.points) for r in scoring.token_novelty(a, a, ["core_hypothesis"]).collect()}
