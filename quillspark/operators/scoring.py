@@ -7,11 +7,13 @@ Every criterion is a struct (score, max_score, reason); the input is flat, one c
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
+from quillspark.operators import novelty
 
 #: Weights, and the terms that scoring looks for.
 WEIGHTS = {"source_reliability": 30, "reproducibility": 25, "relevance": 20, "recency": 15, "novelty": 10}
@@ -136,27 +138,65 @@ def novelty_points(status: Column) -> Column:
     return F.coalesce(F.element_at(table, F.lower(F.trim(status))), F.lit(NOVELTY["unknown"]))
 
 
+def _closest(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """``a`` with best, the least struct(order, b) over the other ids of ``b``; null if none shares a token.
+
+    Sets of tokens meet once for all ids that have them.  Tokens are put in order, rarest first.  What
+    shares a set's rarest token gives a least similarity; after that only pairs meet that can still
+    reach it: by their places, the rest of both sets holds enough tokens.
+    """
+    kind = [*keys, "tokens"]
+    lowest = b.where("candidate_id IS NOT NULL").select(*kind, "candidate_id").distinct().withColumn("_n", F.row_number().over(Window.partitionBy(*kind).orderBy("candidate_id"))).where("_n <= 2")
+    there = lowest.groupBy(*kind).agg(F.min("candidate_id").alias("first"), F.when(F.count("*") > 1, F.max("candidate_id")).alias("second"))
+    # an id changes what its row finds only if it would be found itself
+    found = there.select(F.col("first").alias("skip")).distinct()
+    rows = a.join(found, F.col("candidate_id") == F.col("skip"), "left")
+    asked = rows.where("candidate_id IS NOT NULL").select(*kind, "skip").distinct()
+    common = there.select(*keys, F.explode("tokens").alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("df"))
+
+    def ordered(sets: DataFrame) -> DataFrame:
+        each = sets.withColumn("token", F.explode("tokens")).join(common, [*keys, "token"])
+        out = each.groupBy(*sets.columns).agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"))
+        return out.withColumn("ts", F.transform("ts", lambda t: t["token"]))
+
+    right = ordered(there).select(*keys, "first", "second", F.col("ts").alias("us"), F.posexplode("ts").alias("at_b", "token"))
+    n, m, na, nb = F.size("ts"), F.size("us"), F.size("tokens"), F.size("us")
+    other = F.when(F.col("skip").isNull() | (F.col("skip") != F.col("first")), F.col("first")).otherwise(F.col("second"))
+
+    def similarities(met: DataFrame) -> DataFrame:
+        # as the element of an array, or filters on it would be moved before it and evaluate it again
+        both = met.withColumn("_s", F.size(F.array_intersect("ts", "us"))).withColumn("both", F.explode(F.array("_s")))
+        return both.withColumn("b", other).withColumn("similarity", F.when(F.col("b").isNull(), 0.0).otherwise(F.col("both") / (na + nb - F.col("both"))))
+
+    left = ordered(asked)
+    rarest = novelty.spread(left.withColumn("token", F.get("ts", F.lit(0)))).join(right, [*keys, "token"])
+    least = similarities(rarest).groupBy(*kind, "skip", "ts").agg(F.max("similarity").alias("least"))
+    places = least.select("*", F.posexplode("ts").alias("at_a", "token")).where((n - F.col("at_a")) / na >= F.col("least"))
+    rest = F.least(n - F.col("at_a"), m - F.col("at_b"))
+    near = novelty.spread(places).join(right, [*keys, "token"]).where(rest / (na + nb - rest) >= F.col("least"))
+    pairs = similarities(near).where((F.col("similarity") >= F.col("least")) & F.col("b").isNotNull())
+    best = pairs.groupBy(*kind, "skip").agg(F.min(F.struct((-F.col("similarity")).alias("order"), F.col("b"))).alias("best"))
+    best = best.select(*[F.col(k).alias(f"_{k}") for k in (*kind, "skip")], "best")
+    same = [F.col(k) == F.col(f"_{k}") for k in kind]
+    return rows.join(best, reduce(Column.__and__, same, F.col("candidate_id").isNotNull() & F.col("skip").eqNullSafe(F.col("_skip"))), "left").select(*a.columns, "best")
+
+
 def token_novelty(candidates: DataFrame, existing: DataFrame, fields: Sequence[str], block: Sequence[str] | None = None) -> DataFrame:
     """(candidate_id, best_id, similarity, status, points): each candidate against all others.
 
     An equal name is a duplicate; else the best Jaccard similarity of all tokens decides.  Only pairs
-    that share a token can be similar, so pairs are made on tokens, counted, and never made otherwise.
-    ``block`` names further columns that both sides must share.
+    that share a token can be similar, and only those meet that may be the best.  ``block`` names
+    further columns that both sides must share.
     """
     keys = list(block or ())
 
     def tokens(df: DataFrame) -> DataFrame:
         joined = F.concat_ws(" ", *[_text(df, f) for f in fields if f in df.columns])
-        return df.select("candidate_id", *keys, text.score_name("canonical_name").alias("name"), text.score_tokens(joined).alias("tokens"))
+        return df.select("candidate_id", *keys, text.score_name("canonical_name").alias("name"), F.sort_array(text.score_tokens(joined)).alias("tokens"))
 
     a, b = tokens(candidates), tokens(existing)
-    left = a.select(F.col("candidate_id").alias("a"), *keys, F.explode("tokens").alias("token"), F.size("tokens").alias("na"))
-    right = b.select(F.col("candidate_id").alias("b"), *keys, F.explode("tokens").alias("token"), F.size("tokens").alias("nb"))
-    shared = left.join(right, [*keys, "token"]).where("a <> b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both"))
-    scored = shared.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("similarity"))
-    best = scored.groupBy("a").agg(F.min(F.struct((-F.col("similarity")).alias("order"), F.col("b"))).alias("best"))
     names = b.where("name <> ''").groupBy(*keys, "name").agg(F.min("candidate_id").alias("same_1"), F.max("candidate_id").alias("same_2"))
-    out = a.join(best, F.col("candidate_id") == F.col("a"), "left").join(names, [*keys, "name"], "left")
+    out = _closest(a, b, keys).join(names, [*keys, "name"], "left")
     twin = F.when(F.col("same_1") != F.col("candidate_id"), F.col("same_1")).when(F.col("same_2") != F.col("candidate_id"), F.col("same_2"))
     similarity = F.coalesce(-F.col("best.order"), F.lit(0.0))
     status = F.when(twin.isNotNull(), "duplicate").when(similarity >= 0.35, "variant").otherwise("new")

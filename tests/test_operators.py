@@ -203,6 +203,27 @@ def test_token_novelty(spark):
     assert got == {"a": ("d", "duplicate", 0), "b": ("a", "variant", 3), "c": (None, "new", 10), "d": ("a", "duplicate", 0)}
 
 
+@pytest.mark.parametrize("block", [None, ["kind"]])
+def test_token_novelty_equals_brute_force(spark, block):
+    rng = random.Random(6)
+    rows = [(i, f"n{rng.randint(0, 40)}" if rng.random() < 0.5 else None, " ".join(["every"] * (i % 3 > 0) + rng.choices("a b c d e f g h".split(), k=rng.randint(0, 5))), rng.choice("xy")) for i in range(90)]
+    old = [r for r in rows if r[0] % 3 != 1] + [(r[0] + 200, None, *r[2:]) for r in rows[:20]] + [(r[0] + 300, None, *r[2:]) for r in rows[:20]]
+    old += old[:30]  # repeated rows count once
+    new = [*rows, (500, None, "unseen words", "x")]
+    schema = "candidate_id long, canonical_name string, core_hypothesis string, kind string"
+    want = {}
+    for i, name, words, kind in new:
+        others = [(j, n, set(w.split())) for j, n, w, k in old if j != i and (block is None or k == kind)]
+        mine = set(words.split())
+        order = min(((-len(mine & w) / len(mine | w), j) for j, _, w in others if mine & w), default=(0.0, None))
+        twins = [j for j, n, _ in others if name and n == name]
+        same = [j for j, n, _, k in old if name and n == name and (block is None or k == kind)]
+        twin = None if not twins else min(same) if min(same) != i else max(same)
+        want[i] = (order[1] if twin is None else twin, round(-order[0], 6), "duplicate" if twin is not None else "variant" if -order[0] >= 0.35 else "new")
+    got = scoring.token_novelty(spark.createDataFrame(new, schema), spark.createDataFrame(old, schema), ["core_hypothesis"], block)
+    assert {r.candidate_id: (r.best_id, abs(r.similarity), r.status) for r in got.collect()} == want
+
+
 def test_score(spark):
     full = spark.createDataFrame([("exchange", "me", "2024-01-30T00:00:00Z", "mit", "https://x", "tick data", ["fx"], "5 seconds", "sample", "l2", "h", "s", "e", "x", "d", "r", "relevant", "new", "2024-01-01T00:00:00Z"), *[(None,) * 6 + (None,) + (None,) * 12]], "source_type string, author string, published_at string, license string, canonical_url string, required_frequency string, market_types array<string>, holding_horizon string, time_range string, microstructure_level string, core_hypothesis string, signal_inputs string, entry_logic string, exit_logic string, required_data string, risk_notes string, relevance_status string, novelty_status string, last_successful_briefing_at string")
     got = scoring.score(full, F.lit(datetime(2024, 1, 31)).cast("timestamp")).collect()
