@@ -123,7 +123,7 @@ def release_items(df: DataFrame) -> DataFrame:
     read = df.where(~F.trim("body").startswith("[")).withColumn("i", F.from_json("body", _README))
     content = F.when(F.col("i.encoding") == "base64", F.unbase64(F.regexp_replace("i.content", r"\s", "")).cast("string")).otherwise(F.col("i.content"))
     readme = _items(read, source_id=F.col("source_id"), item_id=F.lit("readme"), url=F.col("i.html_url"), title=F.lit("README"), body=content, position=F.lit(1 << 30))
-    items = released.unionByName(readme).join(F.broadcast(latest), "source_id", "left")
+    items = released.unionByName(readme).join(latest, "source_id", "left")
     return items.withColumn("source_version_ref", F.col("_commit")).select(*ITEM)
 
 

@@ -85,6 +85,12 @@ def test_json_metadata(spark):
         assert r.published_at == datetime(2024, 5, 1)
 
 
+def test_releases_of_many_sources_are_not_broadcast(spark):
+    df = spark.createDataFrame([], "source_id string, base_url string, status int, body string, etag string, last_modified string")
+    plan = readers.release_items(df)._jdf.queryExecution().analyzed().toString()
+    assert "Join LeftOuter" in plan and "ResolvedHint" not in plan and "broadcast" not in plan
+
+
 def test_releases(spark):
     body = [{"id": 1, "name": "v1", "html_url": "https://g/1", "target_commitish": "aaa", "published_at": "2024-01-01T00:00:00Z"}, {"id": 2, "tag_name": "v2", "target_commitish": "bbb", "created_at": "2024-02-01T00:00:00Z"}, {"id": 3, "published_at": "2025-01-01T00:00:00Z"}]
     readme = {"html_url": "https://g/r", "encoding": "base64", "content": base64.b64encode("é hello".encode()).decode()}
