@@ -65,6 +65,11 @@ def test_title():
     assert html.title("<title> a\n b</title><p>c</p>") == "a b" and html.title("<p>x</p>") is None and html.title(None) is None
 
 
+@pytest.mark.parametrize(("cut", "body", "head"), [("a&amp", "a&amp;", "a&"), ("a&am", "a&amp;am", "a&am"), ("a&", "a&amp;", "a&")])
+def test_references_cut_short_are_read_and_escaped(cut, body, head):
+    assert html.inert(f"<title>{cut}</title>") == f"<title>{body}</title>" and html.title(f"<title>{cut}</title>") == head
+
+
 def test_scores_round_half_to_even(spark):
     assert [one(spark, text.clamp_score(F.col("x"), 10), x=v) for v in (2.5, 3.5, 0.5, -1.0, 99.0)] == [2, 4, 0, 0, 10]
 
