@@ -48,7 +48,7 @@ class WordBPE:
 
     def _clear(self) -> None:
         self.known = np.zeros(0, dtype=np.uint64)
-        self.where = np.zeros(1, dtype=np.int64)
+        self.begin, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.int32)
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -150,23 +150,29 @@ class WordBPE:
             at = first[np.searchsorted(distinct, new)]
             raw = words.data.tobytes()
             ids, sizes = self._encode([raw[s:e] for s, e in zip(words.starts[at].tolist(), words.ends[at].tolist(), strict=True)])
-            known = np.concatenate((self.known, new))
-            order = np.argsort(known, kind="stable")
-            where = np.concatenate((self.where[:-1], len(self.ids) + np.concatenate(([0], np.cumsum(sizes)))))
-            self.ids = take(np.concatenate((self.ids, ids)), where, order)
-            self.where = np.concatenate(([0], np.cumsum(np.diff(where)[order])))
-            self.known = known[order]
+            # ids are only added at the end, so that what is known already is not moved
+            place = np.searchsorted(self.known, new)
+            self.begin = np.insert(self.begin, place, len(self.ids) + np.cumsum(sizes) - sizes)
+            self.size = np.insert(self.size, place, sizes)
+            self.known = np.insert(self.known, place, new)
+            self.ids = np.concatenate((self.ids, ids))
         rows = np.searchsorted(self.known, distinct)[inverse]
-        return take(self.ids, self.where, rows), np.diff(self.where)[rows]
+        return runs(self.ids, self.begin[rows], self.size[rows]), self.size[rows]
 
 
-def take(flat: np.ndarray, begin: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The runs ``flat[begin[r]:begin[r + 1]]`` of ``rows``, one after the other."""
-    if not len(rows):
+def runs(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs ``flat[b:b + n]`` of ``begin`` and ``size``, one after the other."""
+    if not len(begin):
         return flat[:0]
-    size = (begin[1:] - begin[:-1])[rows]
     end = np.cumsum(size)
-    return flat[np.arange(end[-1]) + np.repeat(begin[rows] - (end - size), size)]
+    at = np.repeat(begin - (end - size), size)
+    at += np.arange(len(at))
+    return flat[at]
+
+
+def take(flat: np.ndarray, begin: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The runs ``flat[begin[r]:begin[r + 1]]`` of ``rows``, one after the other."""
+    return runs(flat, begin[rows], begin[rows + 1] - begin[rows]) if len(rows) else flat[:0]
 
 
 @lru_cache(maxsize=2)

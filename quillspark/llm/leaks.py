@@ -77,7 +77,7 @@ class Folded:
 def fold(data: np.ndarray, offsets: np.ndarray) -> Folded:
     """The UTF-8 bytes of texts, folded."""
     starts = np.flatnonzero((data & 0xC0) != 0x80)
-    width = np.diff(np.append(starts, len(data)))
+    width = np.diff(np.append(starts, len(data))).astype(np.int8)
     points = data[starts].astype(np.uint32)
     ascii_ = points < 128
     points[ascii_] = _FOLD[points[ascii_]]
@@ -119,7 +119,9 @@ def _eights(data: np.ndarray) -> np.ndarray:
     for step in (1, 2, 4):
         if len(out) <= step:
             return out[:0]
-        out = (out[:-step] << np.uint64(8 * step)) | out[step:]
+        high = out[:-step] << np.uint64(8 * step)
+        high |= out[step:]
+        out = high
     return out
 
 
@@ -136,7 +138,8 @@ def _hash_grams(data: np.ndarray, q: int, eights: np.ndarray | None = None) -> n
     eights = _eights(data) if eights is None else eights
     out = eights[:n] * np.uint64(0x9E3779B97F4A7C15)
     if q > 8:  # the last eight bytes overlap the first; together they are the whole run
-        out = (out ^ (out >> np.uint64(29))) + eights[q - 8 : q - 8 + n] * np.uint64(0xC2B2AE3D27D4EB4F)
+        out ^= out >> np.uint64(29)
+        out += eights[q - 8 : q - 8 + n] * np.uint64(0xC2B2AE3D27D4EB4F)
         out *= np.uint64(0x9E3779B97F4A7C15)
     return out
 
@@ -408,7 +411,7 @@ def find(column: pa.Array, index: Index, p: Leaks) -> Iterator[tuple[int, int, i
         yield (r, item_id, 0, *span(r, lo, hi))
     for q, (keys, first, items, table) in index.by_q.items():
         h = _hash_grams(t.small, q, eights)
-        pos = np.flatnonzero(table[h >> np.uint64(64 - _TABLE_BITS)])
+        pos = np.flatnonzero(table[(h >> np.uint64(64 - _TABLE_BITS)).view(np.int64)])
         key = np.minimum(np.searchsorted(keys, h[pos]), len(keys) - 1)
         row = np.searchsorted(t.edges, pos, side="right") - 1
         ok = (keys[key] == h[pos]) & (pos + q <= t.edges[row + 1])

@@ -41,15 +41,15 @@ def _pieces(p: Packing, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()} | ({"ids": pa.list_(pa.int32())} if keep_ids else {})
         for batch in batches:
-            for part in W.chunks(batch, "text", 8 << 20):
+            for part in W.chunks(batch):
                 row, out = [], {k: [] for k in kinds}
                 for i, ids in enumerate(bpe.document_ids(part.column(1), p.tokenizer)):
                     ids = np.append(ids, p.separator).astype("<u4")
                     for k, start in enumerate(range(0, len(ids), p.capacity)):
                         x = ids[start : start + p.capacity]
                         row.append(i)
-                        values = (k, start, len(x), zlib.crc32(x.tobytes()), x.astype(np.int32))
-                        for name, v in zip(out, values, strict=False):
+                        values = (k, start, len(x), zlib.crc32(x.tobytes()), *([x.astype(np.int32)] if keep_ids else []))
+                        for name, v in zip(out, values, strict=True):
                             out[name].append(v)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), *(pa.array(v, kinds[k]) for k, v in out.items())], names=["doc_id", *out])
 

@@ -1,6 +1,7 @@
 import random
 import re
 import resource
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -159,3 +160,16 @@ def test_short_items_match_exactly_on_word_edges(spark):
     assert sorted((r.doc_id, r.item_id) for r in got) == want and all(r.edits == 0 for r in got)
     text = dict(docs)
     assert all(fold(text[r.doc_id].encode()[r.start : r.end].decode()) in {fold(x) for i, x in items if i == r.item_id} for r in got)
+
+
+def test_hashes_of_long_grams_take_two_words_a_byte():
+    data = np.random.default_rng(1).integers(0, 256, 1 << 18, dtype=np.uint8)
+    eights = L._eights(data)
+    tracemalloc.start()
+    try:
+        got = L._hash_grams(data, 13, eights)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 17 * len(data)
+    assert (got[:200] == [L._hash_grams(data[i : i + 13], 13)[0] for i in range(200)]).all()

@@ -1,5 +1,6 @@
 import itertools
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -8,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from quillspark.llm import bpe, packing
+from quillspark.llm import words as W
 from tests.llm.helpers import frame, odd, prose
 
 public = pytest.importorskip("public_tokenizers")
@@ -127,3 +129,37 @@ def test_sums_know_what_is_available():
             for x in found or [next(i for i, n in enumerate(left) if n)]:
                 left[x] -= 1
             assert min(left) >= 0
+
+
+def peak(work) -> int:
+    """Bytes that ``work`` takes at once, besides what was held before."""
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_new_words_leave_known_ones_in_place():
+    t, rng = bpe.WordBPE(PATH), random.Random(3)
+    many = ["".join(rng.choices("bcdfghjkqvxz0123", k=24)) for _ in range(20_000)]
+    t.encode(W.Words(pa.array([" ".join(many)]), fold=False))
+    assert peak(lambda: t.encode(W.Words(pa.array(["a few new words"]), fold=False))) < 10 * len(t.ids)
+    again = many[:50] + ["new", "words", "unseen"] + many[-50:]
+    ids, sizes = t.encode(W.Words(pa.array([" ".join(again)]), fold=False))
+    whole = library()
+    want = [whole.encode(x, add_special_tokens=False).ids for x in again]
+    assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == list(itertools.chain(*want))
+
+
+def test_large_batches_are_packed_in_small_parts():
+    rng = random.Random(4)
+    text = prose(rng, 60_000)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": [text] * 40})
+    pieces = packing._pieces(packing.Packing(PATH), False)
+    small = list(pieces(iter([batch.slice(0, 1)])))
+    found: list = []
+    # all at once took 231 MB
+    assert batch.nbytes > 7 << 20 and peak(lambda: found.extend(x.num_rows for x in pieces(iter([batch])))) < 120 << 20
+    assert sum(found) == 40 * sum(x.num_rows for x in small)
